@@ -1,8 +1,7 @@
 """Brand impersonation: a fuzzy join of host labels with the brand dictionary.
 
-Work is done once per distinct label. Candidate pairs come from an equi-join on the label length
-against a brand table repeated for every length within the tolerance, so there is no cross join;
-the brand side has a fixed size (168 brands x 7 lengths) and is broadcast.
+Work is done once per distinct host. Candidate pairs come from an equi-join on the label length
+against a brand table repeated for every length within the tolerance, so there is no cross join.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkguard import constants as C
-from linkguard.functions.sqlutil import add, in_list
+from linkguard.functions.sqlutil import add
 
 
 def brand_dim(spark: SparkSession, brands=None, high_value=None) -> DataFrame:
@@ -51,27 +50,40 @@ def host_labels(hosts: DataFrame) -> DataFrame:
 
 
 def normalize_labels(labels: DataFrame) -> DataFrame:
-    """Distinct labels with accent-free and Latin readings; Python only for non-ASCII labels."""
-    distinct = labels.select("label").distinct()
-    odd = r"label RLIKE '[^\\x00-\\x7F]'"
-    ascii_part = distinct.where(f"NOT {odd}").selectExpr(
-        "label", "label AS normalized", "false AS has_homoglyph", "label AS latin")
-    from linkguard.functions.unicode import fold_label
-    other = (distinct.where(odd).withColumn("f", fold_label("label"))
-             .select("label", "f.normalized", "f.has_homoglyph", "f.latin"))
-    return ascii_part.unionByName(other).where("length(normalized) >= 3")
+    """Adds the accent-free form, the Latin reading of look-alike characters and the decoded
+    ``xn--`` text. Only non-ASCII and ``xn--`` labels carry text to Python; all others pass NULL."""
+    from linkguard.functions.unicode import fold_label, punycode_decode
+    df = add(labels, odd_label=r"CASE WHEN label RLIKE '[^\\x00-\\x7F]' THEN label END",
+             xn_label="CASE WHEN startswith(label, 'xn--') THEN label END")
+    df = df.withColumn("f", fold_label("odd_label")).withColumn("d", punycode_decode("xn_label"))
+    df = add(df, normalized="CASE WHEN odd_label IS NULL THEN label ELSE f.normalized END",
+             latin="CASE WHEN odd_label IS NULL THEN label ELSE f.latin END",
+             has_homoglyph="odd_label IS NOT NULL AND f.has_homoglyph",
+             decoded="CASE WHEN xn_label IS NOT NULL THEN lower(d) END")
+    return df.where("length(normalized) >= 3").drop("odd_label", "xn_label", "f", "d")
+
+
+def brand_band(brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
+    """The dictionary repeated for each text length it is compared with. Plain labels: within
+    ``tol``. Decoded labels have no tolerance, but similarity 0.75 bounds the length ratio."""
+    spans = (f"array(named_struct('kind', 'plain', 'lo', greatest(length(brand) - {tol}, 1), "
+             f"'hi', length(brand) + {tol}), named_struct('kind', 'xn', "
+             "'lo', cast(ceil(length(brand) * 0.75D) as int), "
+             "'hi', cast(floor(length(brand) / 0.75D) as int)))")
+    df = brands.select("*", F.explode(F.expr(spans)).alias("s"))
+    return df.select("brand", "brand_pos", "high_value", F.col("s.kind").alias("kind"),
+                     F.explode(F.sequence("s.lo", "s.hi")).alias("cand_len"))
 
 
 def candidates(labels: DataFrame, brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
-    """Label/brand pairs whose lengths differ by at most ``tol``."""
-    band = brands.withColumn("cand_len", F.explode(F.expr(
-        f"sequence(greatest(length(brand) - {tol}, 1), length(brand) + {tol})")))
-    return labels.join(F.broadcast(band), F.length("normalized") == F.col("cand_len")).drop(
-        "cand_len")
-
-
-def combosquat_sql() -> str:
-    return "contains(label, brand) AND label <> brand AND length(label) <= length(brand) * 2.5D"
+    """Label/brand pairs by an equi-join on the text length. The brand side is a fixed table
+    (168 brands, a dozen lengths each), hence the broadcast."""
+    texts = ("filter(array(named_struct('kind', 'plain', 'text', normalized), "
+             "named_struct('kind', 'xn', 'text', decoded)), e -> e.text <> '')")
+    df = labels.withColumn("e", F.explode(F.expr(texts))).withColumn(
+        "cand_len", F.length("e.text")).withColumn("kind", F.col("e.kind"))
+    return df.join(F.broadcast(brand_band(brands, tol)), ["kind", "cand_len"]).drop(
+        "e", "cand_len")
 
 
 def similarity_sql(a: str, b: str = "brand") -> str:
@@ -79,97 +91,74 @@ def similarity_sql(a: str, b: str = "brand") -> str:
             f"cast(greatest(length({a}), length({b})) as double) END")
 
 
-def technique_sql(cand: str = "normalized") -> str:
-    """Kind of edit between a candidate and a brand, most specific first."""
-    diffs = (f"filter(sequence(1, length({cand})), "
-             f"i -> substr({cand}, i, 1) <> substr(brand, i, 1))")
-    first = f"instr({cand}, substr({cand}, {diffs}[0], 1))"
-    swap = (f"{first} < length({cand}) AND substr({cand}, {first}, 1) = "
-            f"substr(brand, {first} + 1, 1) AND substr({cand}, {first} + 1, 1) = "
-            f"substr(brand, {first}, 1)")
-    vowel = in_list("substr({}, i, 1)", list("aeiou"))
-    vowels = f"forall({diffs}, i -> {vowel.format(cand)} AND {vowel.format('brand')})"
-    return f"""CASE WHEN length({cand}) > length(brand) THEN 'insertion'
-        WHEN length({cand}) < length(brand) THEN 'deletion'
-        WHEN size({diffs}) = 1 THEN 'character_substitution'
-        WHEN size({diffs}) = 2 AND {swap} THEN 'transposition'
-        WHEN size({diffs}) = 2 AND {vowels} THEN 'vowel_swap' ELSE 'edit_distance' END"""
-
-
-def risk_sql(sim: str = "similarity", technique: str = "technique") -> str:
-    boost = f"CASE {technique} " + " ".join(
-        f"WHEN '{t}' THEN {b}" for t, b in C.TECHNIQUE_BOOST.items()) + " ELSE 0 END"
-    base = f"(({sim} - 0.75D) / 0.25D) * 50 + 50"
-    return (f"cast(greatest(0D, least(100D, {base} + CASE WHEN high_value THEN 15 ELSE 0 END "
-            f"+ {boost})) as int)")
-
-
-def _percent(sim: str) -> str:
-    return f"concat(cast(round({sim} * 100) as int), '%')"
-
-
-MATCH_COLUMNS = ["label", "brand", "brand_pos", "phase", "tech_rank", "technique", "similarity",
-                 "risk", "details"]
-
-
-def combosquat_matches(pairs: DataFrame) -> DataFrame:
-    df = add(pairs.where(combosquat_sql()), similarity="0.85D", technique="'combosquatting'",
-             phase="0", tech_rank="0",
-             details="concat(\"'\", brand, \"' embedded in '\", label, \"'\")")
-    return add(df, risk=risk_sql()).select(*MATCH_COLUMNS)
-
-
 def _close(a: str) -> str:
     # bounded edit distance: similarity >= 0.75 is distance <= max length / 4
     return (f"levenshtein({a}, brand, cast(floor(greatest(length({a}), length(brand)) / 4D) "
             f"as int)) >= 0")
 
 
-def levenshtein_matches(pairs: DataFrame) -> DataFrame:
-    df = add(pairs.where(f"normalized <> brand AND {_close('normalized')}"),
-             similarity=similarity_sql("normalized"), phase="0", tech_rank="1")
-    df = add(df, technique=technique_sql(),
-             details=f"concat(\"'\", label, \"' resembles '\", brand, \"' (\", "
-                     f"{_percent('similarity')}, ')')")
-    return add(df, risk=risk_sql()).select(*MATCH_COLUMNS)
-
-
-def homoglyph_matches(pairs: DataFrame) -> DataFrame:
-    df = add(pairs.where(f"has_homoglyph AND latin <> brand AND {_close('latin')}"),
-             similarity=similarity_sql("latin"), technique="'homoglyph'", phase="0", tech_rank="2",
-             details="concat(\"'\", label, \"' contains homoglyph chars of '\", brand, \"'\")")
-    return add(df, risk=risk_sql()).select(*MATCH_COLUMNS)
-
-
-def punycode_matches(labels: DataFrame, brands: DataFrame) -> DataFrame:
-    """Decoded ``xn--`` labels against every brand. Similarity 0.75 bounds the length ratio, so
-    the lengths that can match are enumerated per label and equi-joined."""
-    from linkguard.functions.unicode import punycode_decode
-    df = labels.where("startswith(label, 'xn--')").select("label").distinct()
-    df = df.withColumn("decoded", F.lower(punycode_decode("label"))).where("decoded <> ''")
-    df = df.withColumn("cand_len", F.explode(F.expr(
-        "sequence(cast(ceil(length(decoded) * 0.75D) as int), "
-        "cast(floor(length(decoded) / 0.75D) as int))")))
-    df = df.join(F.broadcast(brands), F.col("cand_len") == F.length("brand"))
-    df = add(df.where(f"decoded = brand OR {_close('decoded')}"),
-             similarity=similarity_sql("decoded"), technique="'punycode'", phase="1",
-             tech_rank="3",
-             details="concat(\"Punycode '\", label, \"' decodes to '\", decoded, \"'\")")
-    return add(df, risk=f"least({risk_sql()} + 15, 100)").select(*MATCH_COLUMNS)
-
-
-def label_matches(labels: DataFrame, brands: DataFrame) -> DataFrame:
-    """All matches of distinct labels."""
-    pairs = candidates(normalize_labels(labels), brands)
-    return (combosquat_matches(pairs).unionByName(levenshtein_matches(pairs))
-            .unionByName(homoglyph_matches(pairs)).unionByName(punycode_matches(labels, brands)))
+# --- fixed values: ranks of the detection steps, in the order they report
+COMBO, EDIT, GLYPH, PUNY = 0, 1, 2, 3
+
+
+def _technique() -> str:
+    """Kind of edit between text and brand, most specific first; needs ``diffs``."""
+    first = "instr(text, substr(text, diffs[0], 1))"
+    swap = (f"{first} < length(text) AND substr(text, {first}, 1) = substr(brand, {first} + 1, 1) "
+            f"AND substr(text, {first} + 1, 1) = substr(brand, {first}, 1)")
+    vowels = ("forall(diffs, i -> contains('aeiou', substr(text, i, 1)) "
+              "AND contains('aeiou', substr(brand, i, 1)))")
+    return f"""CASE step WHEN {COMBO} THEN 'combosquatting' WHEN {GLYPH} THEN 'homoglyph'
+        WHEN {PUNY} THEN 'punycode' ELSE
+        CASE WHEN length(text) > length(brand) THEN 'insertion'
+          WHEN length(text) < length(brand) THEN 'deletion'
+          WHEN size(diffs) = 1 THEN 'character_substitution'
+          WHEN size(diffs) = 2 AND {swap} THEN 'transposition'
+          WHEN size(diffs) = 2 AND {vowels} THEN 'vowel_swap' ELSE 'edit_distance' END END"""
+
+
+def label_matches(pairs: DataFrame) -> DataFrame:
+    """Every detection of every pair: one pass, at most a few rows survive the ``explode``."""
+    steps = f"""filter(CASE WHEN kind = 'xn' THEN
+        array(CASE WHEN decoded = brand OR {_close('decoded')} THEN {PUNY} END) ELSE array(
+        CASE WHEN contains(label, brand) AND label <> brand
+             AND length(label) <= length(brand) * 2.5D THEN {COMBO} END,
+        CASE WHEN normalized <> brand AND {_close('normalized')} THEN {EDIT} END,
+        CASE WHEN has_homoglyph AND latin <> brand AND {_close('latin')} THEN {GLYPH} END) END,
+        s -> s IS NOT NULL)"""
+    df = pairs.withColumn("step", F.explode(F.expr(steps)))
+    df = add(df, text=f"CASE step WHEN {GLYPH} THEN latin WHEN {PUNY} THEN decoded "
+                      "ELSE normalized END")
+    df = add(df, similarity=f"CASE WHEN step = {COMBO} THEN 0.85D ELSE {similarity_sql('text')} "
+                            "END",
+             diffs="CASE WHEN length(text) = length(brand) THEN filter(sequence(1, length(text)), "
+                   "i -> substr(text, i, 1) <> substr(brand, i, 1)) END")
+    df = add(df, technique=_technique(),
+             pct="concat(cast(round(similarity * 100) as int), '%')",
+             phase=f"int(step = {PUNY})")
+    boost = "CASE technique " + " ".join(
+        f"WHEN '{t}' THEN {b}" for t, b in C.TECHNIQUE_BOOST.items()) + " ELSE 0 END"
+    return add(
+        df, risk="least(cast(greatest(0D, least(100D, ((similarity - 0.75D) / 0.25D) * 50 + 50 + "
+                 f"CASE WHEN high_value THEN 15 ELSE 0 END + {boost})) as int) "
+                 f"+ CASE WHEN step = {PUNY} THEN 15 ELSE 0 END, 100)",
+        details=f"""CASE step
+          WHEN {COMBO} THEN concat("'", brand, "' embedded in '", label, "'")
+          WHEN {EDIT} THEN concat("'", label, "' resembles '", brand, "' (", pct, ')')
+          WHEN {GLYPH} THEN concat("'", label, "' contains homoglyph chars of '", brand, "'")
+          ELSE concat("Punycode '", label, "' decodes to '", decoded, "'") END""",
+    ).drop("text", "diffs", "pct", "normalized", "latin", "has_homoglyph", "decoded", "kind")
 
 
 def typosquat_matches(hosts: DataFrame, brands: DataFrame) -> DataFrame:
-    """One row per (host, brand, technique): the first match in label, brand, technique order."""
-    labels = host_labels(hosts)
-    df = labels.join(label_matches(labels, brands), "label")
-    order = F.struct("label_pos", "phase", "brand_pos", "tech_rank")
+    """One row per (host, brand, technique): the first match in label, brand, step order.
+
+    The only shuffle is the one that makes hosts distinct: both group-bys start with the host and
+    reuse its partitioning. Labels such as ``www`` are compared once per host instead of being
+    joined back by label, which would put a third of all rows on one key.
+    """
+    df = label_matches(candidates(normalize_labels(host_labels(hosts)), brands))
+    order = F.struct("label_pos", "phase", "brand_pos", "step")
     return (df.groupBy("ts_host", "brand", "technique")
             .agg(F.min_by(F.struct("similarity", "risk", "details"), order).alias("m"),
                  F.min(order).alias("ord"))

@@ -93,7 +93,12 @@ def labels(t: Tables) -> DataFrame:
 
 
 def pairs(t: Tables) -> DataFrame:
-    return I.candidates(I.normalize_labels(labels(t)), I.brand_dim(t.spark))
+    return I.candidates(I.normalize_labels(labels(t).select("label").distinct()),
+                        I.brand_dim(t.spark))
+
+
+def matches(t: Tables, step: int) -> DataFrame:
+    return I.label_matches(pairs(t)).where(F.col("step") == step)
 
 
 @query("brand_dim", "SELECT brand, brand_pos, hv AS high_value FROM brand_list "
@@ -110,30 +115,30 @@ def _(t):
 
 @query("ts_normalize_label", "SELECT DISTINCT label, label AS normalized FROM c_labels")
 def _(t):
-    return I.normalize_labels(labels(t)).select("label", "normalized")
+    return I.normalize_labels(labels(t).select("label").distinct()).select("label", "normalized")
 
 
 @query("ts_candidates", "SELECT DISTINCT label, brand FROM c_pairs")
 def _(t):
-    return pairs(t).select("label", "brand")
+    return pairs(t).where("kind = 'plain'").select("label", "brand")
 
 
 @query("ts_combosquat", """SELECT DISTINCT label, brand, sim AS similarity, details FROM c_found
     WHERE technique = 'combosquatting'""")
 def _(t):
-    return I.combosquat_matches(pairs(t)).select("label", "brand", "similarity", "details")
+    return matches(t, I.COMBO).select("label", "brand", "similarity", "details")
 
 
 @query("ts_levenshtein", """SELECT DISTINCT label, brand, round(sim, 6) AS similarity, details
     FROM c_found WHERE tech = 1""")
 def _(t):
-    return I.levenshtein_matches(pairs(t)).select(
-        "label", "brand", F.round("similarity", 6).alias("similarity"), "details")
+    return matches(t, I.EDIT).select("label", "brand",
+                                     F.round("similarity", 6).alias("similarity"), "details")
 
 
 @query("ts_technique", "SELECT DISTINCT label, brand, technique FROM c_found WHERE tech = 1")
 def _(t):
-    return I.levenshtein_matches(pairs(t)).select("label", "brand", "technique")
+    return matches(t, I.EDIT).select("label", "brand", "technique")
 
 
 GLYPHS = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "x": "х", "y": "у", "i": "і"}
@@ -151,15 +156,17 @@ GLYPHS = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "x": "х", "y":
 def _(t):
     # every label of the corpus, written with Cyrillic look-alikes
     odd = labels(t).select(F.translate("label", "".join(GLYPHS), "".join(GLYPHS.values()))
-                           .alias("label"))
-    found = I.homoglyph_matches(I.candidates(I.normalize_labels(odd), I.brand_dim(t.spark)))
-    return found.select("label", "brand", F.round("similarity", 6).alias("similarity"), "risk")
+                           .alias("label")).distinct()
+    found = I.label_matches(I.candidates(I.normalize_labels(odd), I.brand_dim(t.spark)))
+    return found.where(F.col("step") == I.GLYPH).select(
+        "label", "brand", F.round("similarity", 6).alias("similarity"), "risk")
 
 
-@query("ts_punycode")
+@query("ts_punycode", """SELECT DISTINCT label, brand, round(sim, 6) AS similarity, 100 AS risk
+    FROM c_found WHERE tech = 3""")
 def _(t):
-    return I.punycode_matches(labels(t), I.brand_dim(t.spark)).select("label", "brand",
-                                                                      "similarity", "risk")
+    return matches(t, I.PUNY).select("label", "brand",
+                                     F.round("similarity", 6).alias("similarity"), "risk")
 
 
 @query("typosquat_matches", """SELECT ts_host, brand, technique, round(similarity, 6) AS similarity,

@@ -198,9 +198,9 @@ def typo_ctes(p: str, source: str, col: str) -> dict[str, str]:
       FROM {p}pairs WHERE lev_sim >= 0.75 AND label <> brand
       UNION ALL
       SELECT ts_host, pos, 1, brand_pos, 3, label, brand, hv, 'punycode',
-        {sim.format("'pаypal'")}, 15,
+        {sim.format("'p?ypal'")}, 15,
         'Punycode ''' || label || ''' decodes to ''pаypal''' FROM {p}labels, brand_list
-      WHERE label = 'xn--pypal-4ve' AND {sim.format("'pаypal'")} >= 0.75""",
+      WHERE label = 'xn--pypal-4ve' AND {sim.format("'p?ypal'")} >= 0.75""",
         f"{p}typo": f"""
       SELECT ts_host, brand, technique, sim AS similarity, details, pos, phase, brand_pos, tech,
         least(cast(trunc(greatest(0, least(100, ((sim - 0.75) / 0.25) * 50 + 50 +
