@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = f"^{OCTET}([.]{OCTET}){{3}}$"
 
@@ -53,32 +55,33 @@ def dotted(number: str) -> str:
             f"(({number}) div 256) % 256, ({number}) % 256)")
 
 
-def _v6_head(ip: str) -> str:
-    """Text with a dotted-quad tail rewritten as two hextets and any zone id removed."""
-    plain = f"lower(substring_index({ip}, '%', 1))"
-    tail = f"substring_index({plain}, ':', -1)"
-    num = v4_number(tail)
-    return (f"CASE WHEN contains({tail}, '.') THEN concat(left({plain}, length({plain}) - "
-            f"length({tail})), lower(hex(({num}) div 65536)), ':', lower(hex(({num}) % 65536))) "
-            f"ELSE {plain} END")
-
-
-def v6_groups(ip: str) -> str:
-    """SQL: IPv6 text to an array of eight ints, NULL when it is not an IPv6 address."""
-    h = f"({_v6_head(ip)})"
-    left = f"filter(split(substring_index({h}, '::', 1), ':'), x -> x <> '')"
-    right = (f"CASE WHEN contains({h}, '::') THEN "
-             f"filter(split(substr({h}, instr({h}, '::') + 2), ':'), x -> x <> '') "
-             f"ELSE cast(array() as array<string>) END")
-    full = (f"concat({left}, array_repeat('0', 8 - size({left}) - size({right})), {right})")
-    ok = (f"{h} RLIKE '^[0-9a-f:]+$' AND NOT {h} RLIKE '[0-9a-f]{{5}}|:::|::.*::' "
-          f"AND NOT ({h} LIKE ':%' AND NOT {h} LIKE '::%') "
-          f"AND NOT ({h} LIKE '%:' AND NOT {h} LIKE '%::') "
-          f"AND ({ip} NOT LIKE '%\\\\%' ) "
-          f"AND (size({left}) + size({right}) = 8 AND NOT contains({h}, '::') "
-          f"OR contains({h}, '::') AND size({left}) + size({right}) <= 7)")
-    return (f"CASE WHEN contains({ip}, ':') AND {ok} THEN "
-            f"transform({full}, x -> cast(conv(x, 16, 10) as int)) END")
+def add_v6(df: DataFrame, ip: str, out: str) -> DataFrame:
+    """Adds ``out``: IPv6 text as an array of eight ints, NULL when it is not an IPv6 address.
+    Built in small projections so that each intermediate text is computed once."""
+    # a dotted-quad tail is rewritten as two hextets
+    df = df.withColumn("_plain", F.expr(f"CASE WHEN contains({ip}, ':') AND "
+                                        f"NOT contains({ip}, '%') THEN lower({ip}) END"))
+    df = df.withColumn("_tail", F.expr("CASE WHEN contains(_plain, '.') THEN "
+                                       "substring_index(_plain, ':', -1) END"))
+    df = df.withColumn("_num", F.expr(v4_number("_tail")))
+    df = df.withColumn("_head", F.expr(
+        "CASE WHEN _tail IS NULL THEN _plain ELSE concat(left(_plain, length(_plain) - "
+        "length(_tail)), lower(hex(_num div 65536)), ':', lower(hex(_num % 65536))) END"))
+    # shape: hextets of up to four digits, at most one '::', no stray colon at either end
+    df = df.withColumn("_head", F.expr(
+        "CASE WHEN _head RLIKE '^[0-9a-f:]+$' AND NOT _head RLIKE "
+        "'[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$' THEN _head END"))
+    df = df.withColumns({
+        "_left": F.expr("filter(split(substring_index(_head, '::', 1), ':'), x -> x <> '')"),
+        "_right": F.expr("CASE WHEN contains(_head, '::') THEN filter(split(substr(_head, "
+                         "instr(_head, '::') + 2), ':'), x -> x <> '') "
+                         "ELSE cast(array() as array<string>) END")})
+    df = df.withColumn("_n", F.expr("size(_left) + size(_right)"))
+    df = df.withColumn(out, F.expr(
+        "CASE WHEN _head IS NOT NULL AND CASE WHEN contains(_head, '::') THEN _n <= 7 "
+        "ELSE _n = 8 END THEN transform(concat(_left, array_repeat('0', 8 - _n), _right), "
+        "x -> cast(conv(x, 16, 10) as int)) END"))
+    return df.drop("_plain", "_tail", "_num", "_head", "_left", "_right", "_n")
 
 
 def _expand(prefix: str) -> list[int]:

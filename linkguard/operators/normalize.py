@@ -114,7 +114,7 @@ OBFUSCATED_RE = "^(0x[0-9a-f]+|[0-9]+)([.](0x[0-9a-f]+|[0-9]+)){3}$"
 
 
 def url_ip_host(parts: DataFrame) -> DataFrame:
-    df = add(parts, v4=IP.v4_number("hostname"), v6=IP.v6_groups("hostname"))
+    df = add(IP.add_v6(parts, "hostname", "v6"), v4=IP.v4_number("hostname"))
     df = add(df, ip_version="CASE WHEN v4 IS NOT NULL THEN 'IPv4' WHEN v6 IS NOT NULL THEN 'IPv6' "
                             "END",
              is_private_ip=f"coalesce({IP.private_v4('v4')}, false) OR "
