@@ -26,9 +26,10 @@ def percent_decode(expr: str, plus_is_space: bool = False) -> str:
     return f"url_decode(regexp_replace({src}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
 
-def url_parse(urls: DataFrame, url_col: str = "full_url") -> DataFrame:
-    """Scheme, authority, host, port, path, query, fragment of every URL."""
-    df = urls.select("url_id", F.coalesce(F.col(url_col), F.lit("")).alias("raw_url"))
+def url_parse(urls: DataFrame, url_col: str = "full_url", keep=()) -> DataFrame:
+    """Scheme, authority, host, port, path, query, fragment of every URL; ``keep`` passes further
+    columns of ``urls`` through."""
+    df = urls.select("url_id", F.coalesce(F.col(url_col), F.lit("")).alias("raw_url"), *keep)
     df = add(df, trimmed=f"btrim(raw_url, '{WHITESPACE}')")
     df = add(df, scheme_added=f"raw_url <> '' AND NOT trimmed RLIKE '{SCHEME_RE}'")
     df = add(df, url="CASE WHEN raw_url = '' THEN '' WHEN scheme_added THEN "
@@ -74,7 +75,7 @@ def url_parse(urls: DataFrame, url_col: str = "full_url") -> DataFrame:
         userinfo_raw=keep.format(d="''", e="userinfo_raw"),
         is_https="NOT parse_error AND scheme = 'https'",
     ).select("url_id", "raw_url", "url", "scheme_added", "parse_error", "scheme", "hostname",
-             "port", "invalid_port", "path", "query", "fragment", "userinfo_raw", "is_https")
+             "port", "invalid_port", "path", "query", "fragment", "userinfo_raw", "is_https", *keep)
 
 
 def url_userinfo(parts: DataFrame) -> DataFrame:
@@ -190,12 +191,13 @@ NORM_COLUMNS = [
 ]
 
 
-def url_normalize(urls: DataFrame, url_col: str = "full_url", strict_idna: bool = False) -> DataFrame:
+def url_normalize(urls: DataFrame, url_col: str = "full_url", strict_idna: bool = False,
+                  keep=()) -> DataFrame:
     """The whole normalisation; Spark prunes the columns a caller does not use."""
-    df = url_percent(url_userinfo(url_parse(urls, url_col)))
+    df = url_percent(url_userinfo(url_parse(urls, url_col, keep)))
     df = url_domain_split(url_ip_host(url_idn(df, strict_idna)))
     df = url_warnings(url_canonical(url_query_params(df)))
-    return df.select(*NORM_COLUMNS)
+    return df.select(*NORM_COLUMNS, *keep)
 
 
 def duplicate_urls(norm: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ URL_FEATURES = (
        "unique_char_count", "unique_char_ratio"])
 
 
-def url_features(norm: DataFrame) -> DataFrame:
+def url_features(norm: DataFrame, keep=()) -> DataFrame:
     """``url_id`` plus 52 features; one projection chain over the normalised URLs."""
     df = diversity(path_query(structure(entropies(ratios(counts(lengths(norm)))))))
-    return flags(df).select("url_id", *URL_FEATURES)
+    return flags(df).select("url_id", *keep, *URL_FEATURES)

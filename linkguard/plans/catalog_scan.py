@@ -101,13 +101,6 @@ def matches(t: Tables, step: int) -> DataFrame:
     return I.label_matches(pairs(t)).where(F.col("step") == step)
 
 
-@query("brand_dim", "SELECT brand, brand_pos, hv AS high_value FROM brand_list "
-                    "WHERE EXISTS (SELECT 1 FROM pages)")
-def _(t):
-    from linkguard.sources import feeds
-    return feeds.brand_dim_from_rows(feeds.brand_rows(t))
-
-
 @query("ts_labels", "SELECT ts_host, pos AS label_pos, label FROM c_labels")
 def _(t):
     return labels(t)

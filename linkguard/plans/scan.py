@@ -54,3 +54,48 @@ def scan_summary(verdicts: DataFrame) -> DataFrame:
         *[F.count_if(F.col("prediction") == p).alias(n) for p, n in [
             ("malicious", "malicious"), ("suspicious", "suspicious"), ("benign", "benign"),
             ("error", "errors")]])
+
+
+def evidence_list(scanned: DataFrame) -> DataFrame:
+    """Evidence lines of a scan; columns of optional signals may be absent."""
+    has = set(scanned.columns)
+    items = [("rule_score >= 30", "concat('Rule engine score: ', cast(round(rule_score) as bigint),"
+              " '/100')")]
+    if "ml_probability" in has:
+        items.append(("ml_probability >= 0.5", "concat('ML probability: ', "
+                      "format_string('%.1f', round(ml_probability * 100, 1)), '%')"))
+    head = _lines(items)
+    squat = ("transform(slice(ts_matches, 1, 2), m -> concat('Typosquatting: mimics ', "
+             "upper(m.brand), ' (similarity ', cast(round(m.similarity * 100) as bigint), '%, ', "
+             "replace(m.technique, '_', ' '), ')'))")
+    rest = [
+        ("abuse_score > 0", "concat('IP abuse score: ', abuse_score)", "abuse_score"),
+        ("is_tor", "'Source IP is a Tor exit node'", "is_tor"),
+        ("is_vpn", "'Source IP is a VPN'", "is_vpn"),
+        ("is_hosting", "'Source IP is a hosting/datacenter'", "is_hosting"),
+        ("ip_country <> ''", "concat('IP located in ', ip_country)", "ip_country"),
+        ("is_new_domain = 1", "concat('Newly registered domain (', domain_age_days, ' days old)')",
+         "is_new_domain"),
+        ("is_new_domain = 0 AND domain_age_days <> 0 AND domain_age_days < 90",
+         "concat('Recently registered domain (', domain_age_days, ' days old)')", "is_new_domain"),
+        ("is_privacy_protected = 1", "'Privacy-protected registration'", "is_privacy_protected"),
+        ("is_expiring_soon = 1", "concat('Domain expiring in ', days_until_expiry, ' days')",
+         "is_expiring_soon"),
+        ("has_mx = 0 AND lookup_success = 1", "'No MX records'", "has_mx"),
+        ("has_spf = 0 AND lookup_success = 1", "'No SPF record'", "has_spf"),
+        ("is_punycode", "'Punycode/IDN domain detected'", None),
+        ("has_unicode", "'Unicode characters in hostname'", None),
+        ("has_at_symbol", "'@ symbol in URL (redirect trick)'", None),
+        ("has_double_encoding", "'Double URL encoding detected'", None),
+        ("is_ip_host", "'IP address used as host'", None),
+        ("percent_encoding_count > 5", "concat('Heavy URL encoding: ', percent_encoding_count, "
+         "' chars')", None)]
+    tail = _lines([(c, t) for c, t, need in rest if need is None or need in has])
+    df = add(scanned, evidence=f"concat({head}, {squat}, {tail})")
+    return add(df, evidence="CASE WHEN size(evidence) > 0 THEN evidence ELSE transform("
+                            "slice(rule_reasons, 1, 5), r -> concat('Rule triggered: ', r)) END")
+
+
+def _lines(items) -> str:
+    cases = ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in items)
+    return f"filter(array({cases}), e -> e IS NOT NULL)"

@@ -280,6 +280,33 @@ def view_sql(dialect: str) -> dict[str, str]:
           THEN 'localhost' END AS qname
       FROM (SELECT *, event_id % {n_urls} AS u_id FROM events) e JOIN urls_v u ON u.url_id = u_id"""
 
+    v["feed_json"] = """
+      SELECT url_id AS pos, concat('{"phish_id":', url_id, ',"url":"',
+        CASE WHEN url_id % 5 = 0 THEN '' ELSE full_url END,
+        '","phish_detail_url":"http://detail.example.net/', url_id, '"}') AS line
+      FROM url_corpus WHERE v <> 1"""
+    v["feed_csv"] = """
+      SELECT CAST(-1 AS bigint) AS pos, 'phish_id,url,phish_detail_url' AS line
+      FROM (SELECT max(page_id) AS m FROM pages) x
+      UNION ALL SELECT url_id, concat(url_id, ',"', full_url, ',z",x') FROM url_corpus"""
+    v["feed_lines"] = """
+      SELECT CASE WHEN url_id % 2 = 0 THEN 'open_feed' ELSE 'army_feed' END AS source,
+        url_id AS pos, concat('  ', full_url, ' ') AS line FROM url_corpus"""
+    v["feed_malware_csv"] = """
+      SELECT url_id AS pos, CASE WHEN url_id % 10 = 0 THEN concat('# note ', full_url) ELSE
+        concat('"', url_id, '","2024-01-01","', full_url, '","online"') END AS line
+      FROM url_corpus"""
+    v["feed_malware_json"] = """
+      SELECT page_id AS pos, concat('{"query_status":"ok","urls":[{"id":1,"url":"', url,
+        '"},{"id":2,"url":""},{"id":3,"url":"ftp://files/', page_id, '"}]}') AS line FROM pages"""
+    netset_ip = d.ip("c_custkey % 700")
+    v["netset_lines"] = f"""
+      SELECT concat('list', c_custkey % 3) AS source, {d.idiv('c_custkey', 3)} AS pos,
+        CASE c_custkey % 7 WHEN 0 THEN '# comment' WHEN 1 THEN '' WHEN 2 THEN
+          concat({netset_ip}, '/24') WHEN 3 THEN concat(' ', {netset_ip}, ' 5')
+          WHEN 4 THEN concat({netset_ip}, chr(9), '3') WHEN 5 THEN 'not.an.ip.addr'
+          ELSE {netset_ip} END AS line FROM customer"""
+
     v["audit_v"] = f"""
       SELECT event_id AS audit_id, user_id, concat('alert_status:', {status}) AS action,
         'alerts' AS table_affected, event_id % 500 AS record_id, ts
