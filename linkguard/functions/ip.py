@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from linkguard.functions.sqlutil import let
+
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = f"^{OCTET}([.]{OCTET}){{3}}$"
 
@@ -35,24 +37,27 @@ def v4_bounds(cidr: str) -> tuple[int, int]:
 
 def v4_number(ip: str) -> str:
     """SQL: dotted quad text to bigint, NULL when it is not a strict dotted quad."""
-    parts = " + ".join(
-        f"cast(split_part({ip}, '.', {i + 1}) as bigint) * {256 ** (3 - i)}" for i in range(4))
-    return f"CASE WHEN {ip} RLIKE '{IPV4_RE}' THEN {parts} END"
+    return let(ip, lambda s: f"CASE WHEN {s} RLIKE '{IPV4_RE}' THEN aggregate(split({s}, '[.]'), "
+                             "0L, (acc, x) -> acc * 256 + cast(x as bigint)) END")
 
 
-def in_ranges(number: str, cidrs: list[str]) -> str:
+def _between(n: str, cidrs: list[str]) -> str:
     return "(" + " OR ".join(
-        f"{number} BETWEEN {lo} AND {hi}" for lo, hi in map(v4_bounds, cidrs)) + ")"
+        f"{n} BETWEEN {lo} AND {hi}" for lo, hi in map(v4_bounds, cidrs)) + ")"
+
+
+def in_ranges(number: str, cidrs: list[str]) -> str:
+    return let(number, lambda n: _between(n, cidrs))
 
 
 def private_v4(number: str) -> str:
-    return (f"({in_ranges(number, PRIVATE_V4)} AND NOT "
-            f"{in_ranges(number, PRIVATE_V4_EXCEPT)})")
+    return let(number, lambda n: f"({_between(n, PRIVATE_V4)} AND NOT "
+                                 f"{_between(n, PRIVATE_V4_EXCEPT)})")
 
 
 def dotted(number: str) -> str:
-    return (f"concat_ws('.', ({number}) div 16777216, (({number}) div 65536) % 256, "
-            f"(({number}) div 256) % 256, ({number}) % 256)")
+    return let(number, lambda n: f"concat_ws('.', {n} div 16777216, ({n} div 65536) % 256, "
+                                 f"({n} div 256) % 256, {n} % 256)")
 
 
 def add_v6(df: DataFrame, ip: str, out: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -37,3 +39,16 @@ def count_contains(expr: str, words) -> str:
 
 def count_char(expr: str, ch: str) -> str:
     return f"(length({expr}) - length(replace({expr}, {lit(ch)}, '')))"
+
+
+_NAMES = itertools.count()
+
+
+def let(expr: str, body) -> str:
+    """SQL that evaluates ``expr`` once and binds it to a name inside ``body(name)``.
+
+    Without it an expression that mentions its input several times is multiplied whenever the
+    optimizer substitutes it into a filter or a grouping key.
+    """
+    name = f"v{next(_NAMES)}"
+    return f"transform(array({expr}), {name} -> {body(name)})[0]"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkguard import constants as C
 from linkguard.functions import ip as IP
-from linkguard.functions.sqlutil import add, array, in_list
+from linkguard.functions.sqlutil import add, array, in_list, let
 
 
 def syntax(urls: DataFrame, url_col: str = "full_url") -> DataFrame:
@@ -33,23 +33,17 @@ def syntax(urls: DataFrame, url_col: str = "full_url") -> DataFrame:
 
 def decode_ip(hosts: DataFrame) -> DataFrame:
     """Adds ``decoded_ip``: the dotted form of decimal, 0x-hex and dotted (octal) hosts."""
-    top = 0xFFFFFFFF
-    part = ("CASE WHEN startswith(split_part(hostname, '.', {0}), '0') THEN "
-            "CASE WHEN split_part(hostname, '.', {0}) RLIKE '^[0-7]+$' THEN "
-            "cast(conv(split_part(hostname, '.', {0}), 8, 10) as bigint) END "
-            "ELSE try_cast(split_part(hostname, '.', {0}) as bigint) END")
-    df = add(
-        hosts, _dec="CASE WHEN hostname RLIKE '^[0-9]+$' THEN try_cast(hostname as decimal(38,0)) "
-                    "END",
-        _hex="CASE WHEN hostname RLIKE '^0x0*[0-9a-f]{1,8}$' THEN "
-             "cast(conv(substr(hostname, 3), 16, 10) as bigint) END",
-        **{f"_o{i}": f"CASE WHEN hostname RLIKE '^[0-9]+([.][0-9]+){{3}}$' THEN "
-                     f"{part.format(i)} END" for i in range(1, 5)})
-    df = add(df, _num=f"""CASE WHEN _dec <= {top} THEN cast(_dec as bigint)
-        WHEN _hex IS NOT NULL THEN _hex
-        ELSE shiftleft(_o1, 24) | shiftleft(_o2, 16) | shiftleft(_o3, 8) | _o4 END""")
-    return add(df, decoded_ip=f"CASE WHEN _num BETWEEN 0 AND {top} THEN {IP.dotted('_num')} END"
-               ).drop("_dec", "_hex", "_o1", "_o2", "_o3", "_o4", "_num")
+    # a dotted part with a leading zero is octal; an octal part with 8 or 9 decodes to nothing
+    octet = ("CASE WHEN NOT startswith(x, '0') THEN try_cast(x as bigint) "
+             "WHEN x RLIKE '^[0-7]+$' THEN cast(conv(x, 8, 10) as bigint) END")
+    quad = (f"aggregate(transform(split(h, '[.]'), x -> {octet}), 0L, "
+            "(acc, o) -> shiftleft(acc, 8) | o)")
+    number = let("hostname", lambda h: f"""CASE
+        WHEN {h} RLIKE '^[0-9]+$' THEN try_cast({h} as bigint)
+        WHEN {h} RLIKE '^0x0*[0-9a-f]{{1,8}}$' THEN cast(conv(substr({h}, 3), 16, 10) as bigint)
+        WHEN {h} RLIKE '^[0-9]+([.][0-9]+){{3}}$' THEN {quad.replace('h,', h + ',')} END""")
+    return add(hosts, decoded_ip=let(number, lambda n: (
+        f"CASE WHEN {n} BETWEEN 0 AND {0xFFFFFFFF} THEN {IP.dotted(n)} END")))
 
 
 def classify_ip(rows: DataFrame, col: str = "ip", out: str = "ip_reason") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkguard import constants as C
-from linkguard.functions.sqlutil import add
+from linkguard.functions.sqlutil import add, let
 
 
 def brand_dim(spark: SparkSession, brands=None, high_value=None) -> DataFrame:
@@ -24,12 +24,13 @@ def brand_dim(spark: SparkSession, brands=None, high_value=None) -> DataFrame:
 
 def host_of(url: str) -> str:
     """SQL: the text before the first ':' of the authority (user info is not removed)."""
-    s = f"lower(btrim({url}))"
-    full = f"CASE WHEN contains({s}, '://') THEN {s} ELSE concat('http://', {s}) END"
-    netloc = f"regexp_extract({full}, '^([a-z][a-z0-9+.-]*:)?//([^/?#]*)', 2)"
-    return (f"CASE WHEN contains({s}, '/') OR contains({s}, '?') "
-            f"THEN substring_index({netloc}, ':', 1) "
-            f"ELSE btrim(substring_index({s}, ':', 1), '.') END")
+    def body(s):
+        full = f"CASE WHEN contains({s}, '://') THEN {s} ELSE concat('http://', {s}) END"
+        netloc = f"regexp_extract({full}, '^([a-z][a-z0-9+.-]*:)?//([^/?#]*)', 2)"
+        return (f"CASE WHEN contains({s}, '/') OR contains({s}, '?') "
+                f"THEN substring_index({netloc}, ':', 1) "
+                f"ELSE btrim(substring_index({s}, ':', 1), '.') END")
+    return let(f"lower(btrim({url}))", body)
 
 
 def with_host(urls: DataFrame, url_col: str) -> DataFrame:

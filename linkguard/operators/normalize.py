@@ -61,18 +61,18 @@ def url_parse(urls: DataFrame, url_col: str = "full_url", keep=()) -> DataFrame:
                       "ELSE raw_path END")
     df = add(df, port_num="CASE WHEN port_text RLIKE '^[0-9]+$' THEN try_cast(port_text as int) END")
     # unbalanced brackets make the URL unparseable: everything stays at its default
-    keep = "CASE WHEN parse_error THEN {d} ELSE {e} END"
+    guard = "CASE WHEN parse_error THEN {d} ELSE {e} END"
     return add(
         df,
-        scheme=keep.format(d="''", e="scheme"),
-        hostname=keep.format(d="''", e="lower(host_raw)"),
-        port=keep.format(d="NULL", e="CASE WHEN port_num BETWEEN 0 AND 65535 THEN port_num END"),
+        scheme=guard.format(d="''", e="scheme"),
+        hostname=guard.format(d="''", e="lower(host_raw)"),
+        port=guard.format(d="NULL", e="CASE WHEN port_num BETWEEN 0 AND 65535 THEN port_num END"),
         invalid_port="NOT parse_error AND port_text <> '' "
                      "AND coalesce(port_num NOT BETWEEN 0 AND 65535, true)",
-        path=keep.format(d="'/'", e="CASE WHEN path_cut = '' THEN '/' ELSE path_cut END"),
-        query=keep.format(d="''", e="query"),
-        fragment=keep.format(d="''", e="fragment"),
-        userinfo_raw=keep.format(d="''", e="userinfo_raw"),
+        path=guard.format(d="'/'", e="CASE WHEN path_cut = '' THEN '/' ELSE path_cut END"),
+        query=guard.format(d="''", e="query"),
+        fragment=guard.format(d="''", e="fragment"),
+        userinfo_raw=guard.format(d="''", e="userinfo_raw"),
         is_https="NOT parse_error AND scheme = 'https'",
     ).select("url_id", "raw_url", "url", "scheme_added", "parse_error", "scheme", "hostname",
              "port", "invalid_port", "path", "query", "fragment", "userinfo_raw", "is_https", *keep)

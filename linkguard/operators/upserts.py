@@ -34,7 +34,7 @@ def url_upsert(urls: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
     old = urls.withColumn("seq", F.lit(-1).cast("bigint"))
     new = batch.withColumn("submission_date", F.expr(f"TIMESTAMP_NTZ '{as_of}'"))
     both = old.unionByName(new)
-    order = F.col("seq")
+    order = F.struct("seq", "url_id")
     fixed = ["url_id", "domain", "path", "protocol", "tld", "url_length"]
     return both.groupBy("full_url").agg(
         F.min_by(F.struct(*fixed), order).alias("f"),

@@ -423,11 +423,13 @@ CTES["f_classed"] = f"""SELECT *, len(list_filter({q(C.TOR_PREFIXES)},
     CASE WHEN list_contains({q(C.HIGH_RISK_COUNTRIES)}, upper(country_code)) THEN 0.9
       WHEN list_contains({q(C.MEDIUM_RISK_COUNTRIES)}, upper(country_code)) THEN 0.4 ELSE 0 END
       AS country_risk,
-    0.35 * abuse_score / 100 + 0.2 * internal_threat_score / 100 + 0.15 * asn_risk +
-      0.1 * country_risk + 0.1 * least(active_threats / 5, 1) + 0.1 * least(internal_alerts / 10, 1)
-      AS c0,
-    CASE WHEN is_tor THEN least(c0 + 0.3, 1) ELSE c0 END AS c1,
-    round((CASE WHEN is_vpn THEN least(c1 + 0.1, 1) ELSE c1 END)::DOUBLE, 4) AS combined_risk
+    0.35::DOUBLE * (abuse_score / 100) + 0.2::DOUBLE * (internal_threat_score / 100) +
+      0.15::DOUBLE * asn_risk::DOUBLE + 0.1::DOUBLE * country_risk::DOUBLE +
+      0.1::DOUBLE * least(active_threats / 5, 1::DOUBLE) +
+      0.1::DOUBLE * least(internal_alerts / 10, 1::DOUBLE) AS c0,
+    CASE WHEN is_tor THEN least(c0 + 0.3::DOUBLE, 1) ELSE c0 END AS c1,
+    round((CASE WHEN is_vpn THEN least(c1 + 0.1::DOUBLE, 1) ELSE c1 END)::DOUBLE::VARCHAR
+      ::DECIMAL(38, 20), 4)::DOUBLE AS combined_risk
     FROM f_merged"""
 
 

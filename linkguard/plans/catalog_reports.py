@@ -503,10 +503,10 @@ URL_BATCH = """SELECT 1000000 + event_id AS url_id, concat('https://new-', event
       CASE WHEN url_id % 3 = 0 THEN true END, url_id FROM urls_v WHERE url_id % 2 = 0"""
 
 
-@query("url_upsert", f"""SELECT full_url, arg_min(url_id, seq) AS url_id,
+@query("url_upsert", f"""SELECT full_url, arg_min(url_id, (seq, url_id)) AS url_id,
     {fmt(f"CASE WHEN max(seq) >= 0 THEN {NOW} ELSE max(submission_date) END")} AS submission_date,
-    arg_max(source, seq) AS source,
-    arg_max(is_malicious, seq) FILTER (is_malicious IS NOT NULL) AS is_malicious FROM (
+    arg_max(source, (seq, url_id)) AS source,
+    arg_max(is_malicious, (seq, url_id)) FILTER (is_malicious IS NOT NULL) AS is_malicious FROM (
       SELECT full_url, url_id, submission_date, source, is_malicious, -1 AS seq FROM urls_v
       UNION ALL SELECT full_url, url_id, NULL, source, is_malicious, seq FROM ({URL_BATCH}))
     GROUP BY full_url""")
