@@ -60,6 +60,24 @@ class Dialect:
                 f"{self.idiv(n, 51200)} % 256, '.', (29 * ({n})) % 256)")
 
 
+def stream_flow_columns(d: "Dialect") -> list[str]:
+    """Flow columns computed from one event row, for the batch view and for a stream of events."""
+    k = "cast(regexp_extract(props, '[0-9]+', 0) as bigint)"
+    host = (f"concat('host', user_id % 40, '.', "
+            f"{pick('event_id % 5', ['com', 'tk', 'org', 'xyz', 'net'])})")
+    return [
+        "event_id", "ts", f"{d.ip('user_id')} AS src_ip", f"{d.ip(k)} AS dst_ip",
+        "cast(1024 + event_id % 50000 as int) AS src_port",
+        f"cast({pick(f'{k} % 8', [80, 443, 53, 8080, 22, 23, 445, 3389], False)} as int) "
+        "AS dst_port",
+        "CASE WHEN event_type = 'error' THEN 'ICMP' WHEN event_type = 'signup' THEN 'UDP' "
+        "ELSE 'TCP' END AS transport", "cast(floor(value * 3) as int) AS size",
+        f"CASE WHEN event_id % 4 < 2 THEN {host} END AS http_host",
+        f"CASE WHEN event_id % 3 = 0 THEN '/login/verify?account=1' END AS http_path",
+        f"CASE WHEN event_id % 4 = 2 THEN {host} END AS sni",
+        f"CASE WHEN event_id % 4 = 3 THEN concat({host}, '.') END AS qname"]
+
+
 COUNTRY_CODES = ["US", "DE", "RU", "CN", "BR", "IN", "KP", "GB", "NG", "FR", "IR", "JP", "PK",
                  "CA", "VN", "NL", "BY", "SG", "TR", "AU", "UA", "SE", "CU", "ID", "MM"]
 ASNS = ["AS16509", "AS9009", "AS7922", "AS14061", "AS3320", "AS60068", "AS701", "AS13335",
@@ -307,6 +325,8 @@ def view_sql(dialect: str) -> dict[str, str]:
           WHEN 4 THEN concat({netset_ip}, chr(9), '3') WHEN 5 THEN 'not.an.ip.addr'
           ELSE {netset_ip} END AS line FROM customer"""
 
+    v["sflows_v"] = f"SELECT {', '.join(stream_flow_columns(d))} FROM events"
+
     v["audit_v"] = f"""
       SELECT event_id AS audit_id, user_id, concat('alert_status:', {status}) AS action,
         'alerts' AS table_affected, event_id % 500 AS record_id, ts
@@ -361,6 +381,11 @@ class Tables:
         return self.spark.sql(text)
 
     def __getattr__(self, name: str):
-        if name in view_sql("spark"):
-            return self.sql(f"SELECT * FROM {name}")
-        raise AttributeError(name)
+        if name not in view_sql("spark"):
+            raise AttributeError(name)
+        df = self.sql(f"SELECT * FROM {name}")
+        # the small test files are one split each; give wide row-wise work all cores
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("url_corpus", "urls_v") and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
