@@ -52,3 +52,14 @@ def let(expr: str, body) -> str:
     """
     name = f"v{next(_NAMES)}"
     return f"transform(array({expr}), {name} -> {body(name)})[0]"
+
+
+def pin(df: DataFrame, *cols: str) -> DataFrame:
+    """Compute ``cols`` in a step of their own (a one-element explode).
+
+    For join keys that are derived through many small projections: the optimizer otherwise writes
+    out the whole derivation of the key for each rule that traces it, which grows exponentially.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    df = df.select(*rest, F.explode(F.array(F.struct(*cols))).alias("_pin"))
+    return df.select(*rest, *[F.col(f"_pin.{c}").alias(c) for c in cols])

@@ -385,7 +385,8 @@ class Tables:
             raise AttributeError(name)
         df = self.sql(f"SELECT * FROM {name}")
         # the small test files are one split each; give wide row-wise work all cores
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("url_corpus", "urls_v") and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        if name in ("url_corpus", "urls_v"):
+            cores = self.spark.sparkContext.defaultParallelism
+            if self.base("pages").select("page_id").rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
         return df
