@@ -63,3 +63,9 @@ def pin(df: DataFrame, *cols: str) -> DataFrame:
     rest = [c for c in df.columns if c not in cols]
     df = df.select(*rest, F.explode(F.array(F.struct(*cols))).alias("_pin"))
     return df.select(*rest, *[F.col(f"_pin.{c}").alias(c) for c in cols])
+
+
+def items(array_col: str):
+    """An array column to hand to ``explode``. Exploding the bare column makes the optimizer add a
+    "not empty" filter below, which repeats the whole derivation of a computed array."""
+    return F.expr(f"filter({array_col}, x -> true)")

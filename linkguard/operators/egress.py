@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkguard import constants as C
 from linkguard.functions import ip as IP
-from linkguard.functions.sqlutil import add, array, in_list, let
+from linkguard.functions.sqlutil import add, array, in_list, let, pin
 
 
 def syntax(urls: DataFrame, url_col: str = "full_url") -> DataFrame:
@@ -42,8 +42,9 @@ def decode_ip(hosts: DataFrame) -> DataFrame:
         WHEN {h} RLIKE '^[0-9]+$' THEN try_cast({h} as bigint)
         WHEN {h} RLIKE '^0x0*[0-9a-f]{{1,8}}$' THEN cast(conv(substr({h}, 3), 16, 10) as bigint)
         WHEN {h} RLIKE '^[0-9]+([.][0-9]+){{3}}$' THEN {quad.replace('h,', h + ',')} END""")
-    return add(hosts, decoded_ip=let(number, lambda n: (
+    df = add(hosts, decoded_ip=let(number, lambda n: (
         f"CASE WHEN {n} BETWEEN 0 AND {0xFFFFFFFF} THEN {IP.dotted(n)} END")))
+    return pin(df, "decoded_ip")
 
 
 def classify_ip(rows: DataFrame, col: str = "ip", out: str = "ip_reason") -> DataFrame:
@@ -57,7 +58,7 @@ def classify_ip(rows: DataFrame, col: str = "ip", out: str = "ip_reason") -> Dat
     v6 = [ip for ip in C.METADATA_IPS if ":" in ip]
     meta4 = " OR ".join(f"_n = {IP.v4_bounds(ip + '/32')[0]}" for ip in v4)
     meta6 = IP.v6_any("_g", [(ip, 128) for ip in v6])
-    return add(df, **{out: f"""CASE WHEN {col} IS NULL OR (_n IS NULL AND _g IS NULL)
+    df = add(df, **{out: f"""CASE WHEN {col} IS NULL OR (_n IS NULL AND _g IS NULL)
           THEN 'invalid_ip_format'
         WHEN _n IS NOT NULL THEN CASE WHEN {meta4} THEN 'cloud_metadata_endpoint'
           WHEN {IP.in_ranges('_n', ['127.0.0.0/8'])} THEN 'loopback'
@@ -68,6 +69,7 @@ def classify_ip(rows: DataFrame, col: str = "ip", out: str = "ip_reason") -> Dat
           WHEN {IP.private_v6('_g')} THEN 'private_range'
           WHEN {IP.v6_any('_g', IP.RESERVED_V6)} THEN 'reserved'
           WHEN {IP.v6_in('_g', 'ff00::', 8)} THEN 'multicast' END END"""}).drop("_g", "_m", "_n")
+    return pin(df, out)
 
 
 def host_resolution(dns: DataFrame) -> DataFrame:

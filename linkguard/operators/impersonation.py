@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkguard import constants as C
-from linkguard.functions.sqlutil import add, let
+from linkguard.functions.sqlutil import add, items, let
 
 
 def brand_dim(spark: SparkSession, brands=None, high_value=None) -> DataFrame:
@@ -46,7 +46,7 @@ def host_labels(hosts: DataFrame) -> DataFrame:
         CASE WHEN size(main) > 1 THEN array(named_struct('pos', size(main),
              'label', array_join(main, '-'))) ELSE cast(array() as
              array<struct<pos:int,label:string>>) END), e -> length(e.label) >= 3)""")
-    return (df.select("ts_host", F.explode("labels").alias("e"))
+    return (df.select("ts_host", F.explode(items("labels")).alias("e"))
             .select("ts_host", F.col("e.pos").alias("label_pos"), F.col("e.label").alias("label")))
 
 

@@ -16,12 +16,11 @@ def structural(ips: DataFrame) -> DataFrame:
     df = add(df, _n=IP.v4_number("ip_address"))
     octet = ("CASE WHEN contains(ip_address, ':') THEN 0 ELSE "
              "coalesce(try_cast(split_part(ip_address, '.', {}) as int), 0) END")
-    big = " + ".join(f"cast(_v6[{i}] as decimal(38,0)) * cast('{65536 ** (7 - i)}' as decimal(38,0))"
-                     for i in range(8))
     return add(df, is_private=f"int(coalesce({IP.in_ranges('_n', IP.FEATURE_PRIVATE_V4)}, false))",
                is_ipv6="int(contains(ip_address, ':'))",
-               ip_numeric=f"coalesce(cast(_n as decimal(38,0)), try_add({big}, "
-                          "cast(0 as decimal(38,0))), cast(0 as decimal(38,0)))",
+               # a double: exact for IPv4, and IPv6 numbers do not fit any integer type
+               ip_numeric="coalesce(cast(_n as double), aggregate(_v6, 0D, "
+                          "(acc, x) -> acc * 65536D + x), 0D)",
                **{f"octet_{i}": octet.format(i) for i in range(1, 5)}).drop("_n", "_v6")
 
 

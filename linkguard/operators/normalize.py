@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkguard import constants as C
 from linkguard.functions import ip as IP
-from linkguard.functions.sqlutil import add, count_char, in_list
+from linkguard.functions.sqlutil import add, count_char, in_list, pin
 
 # whitespace that is stripped from both ends of a raw URL
 WHITESPACE = r" \t\n\r\u000B\u000C"
@@ -62,7 +62,7 @@ def url_parse(urls: DataFrame, url_col: str = "full_url", keep=()) -> DataFrame:
     df = add(df, port_num="CASE WHEN port_text RLIKE '^[0-9]+$' THEN try_cast(port_text as int) END")
     # unbalanced brackets make the URL unparseable: everything stays at its default
     guard = "CASE WHEN parse_error THEN {d} ELSE {e} END"
-    return add(
+    df = add(
         df,
         scheme=guard.format(d="''", e="scheme"),
         hostname=guard.format(d="''", e="lower(host_raw)"),
@@ -76,6 +76,8 @@ def url_parse(urls: DataFrame, url_col: str = "full_url", keep=()) -> DataFrame:
         is_https="NOT parse_error AND scheme = 'https'",
     ).select("url_id", "raw_url", "url", "scheme_added", "parse_error", "scheme", "hostname",
              "port", "invalid_port", "path", "query", "fragment", "userinfo_raw", "is_https", *keep)
+    return pin(df, "parse_error", "scheme", "hostname", "port", "invalid_port", "path", "query",
+               "fragment", "userinfo_raw", "is_https")
 
 
 def url_userinfo(parts: DataFrame) -> DataFrame:
@@ -121,7 +123,8 @@ def url_ip_host(parts: DataFrame) -> DataFrame:
              is_private_ip=f"coalesce({IP.private_v4('v4')}, false) OR "
                            f"coalesce({IP.private_v6('v6')}, false)",
              obfuscated_ip=f"v4 IS NULL AND hostname RLIKE '{OBFUSCATED_RE}'")
-    return add(df, is_ip_host="ip_version IS NOT NULL OR obfuscated_ip").drop("v4", "v6")
+    df = add(df, is_ip_host="ip_version IS NOT NULL OR obfuscated_ip").drop("v4", "v6")
+    return pin(df, "ip_version", "is_private_ip", "obfuscated_ip", "is_ip_host")
 
 
 def url_domain_split(parts: DataFrame) -> DataFrame:
@@ -136,10 +139,11 @@ def url_domain_split(parts: DataFrame) -> DataFrame:
                      " WHEN two THEN substring_index(host, '.', -2)"
                      " ELSE substring_index(host, '.', -1) END",
              registered_domain="substring_index(host, '.', -keep_labels)")
-    return add(
+    df = add(
         df, subdomain="CASE WHEN length(registered_domain) < length(host) THEN left(host, "
                       "length(host) - length(registered_domain) - 1) ELSE '' END",
     ).drop("host", "n_labels", "two", "three", "keep_labels")
+    return pin(df, "registered_domain", "subdomain", "tld")
 
 
 def url_query_params(parts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from linkguard import constants as C
-from linkguard.functions.sqlutil import add
+from linkguard.functions.sqlutil import add, pin
 
 INPUTS = ["rule_score", "ml_probability", "ip_score", "domain_score", "threat_score"]
 
@@ -100,7 +100,9 @@ def risk_prediction_map(df: DataFrame) -> DataFrame:
 
 
 def risk_fuse(signals: DataFrame, weights=None, thresholds=None) -> DataFrame:
-    df = risk_score(risk_renormalize(risk_normalize(signals), weights))
+    df = pin(risk_normalize(signals), *C.SIGNALS)
+    df = pin(risk_renormalize(df, weights), "n_present", *[f"w_{s}" for s in C.SIGNALS])
+    df = pin(risk_score(df), "risk_score", *[f"c_{s}" for s in C.SIGNALS])
     df = risk_confidence(risk_verdict(df, thresholds), thresholds)
     return risk_prediction_map(risk_explain(df))
 

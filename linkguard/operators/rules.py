@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkguard import constants as C
 from linkguard.functions.sqlutil import (add, any_contains, any_endswith, array, count_char,
-                                         in_list)
+                                         in_list, items, pin)
 
 
 def rule_base(norm: DataFrame) -> DataFrame:
@@ -135,9 +135,10 @@ def rule_points(base: DataFrame) -> DataFrame:
     shortcut = "CASE WHEN trusted THEN {} WHEN safe_tld THEN {} ELSE {} END"
     total = " + ".join(points_sql(k) for k in keys)
     reasons = "concat(" + ", ".join(reasons_sql(k) for k in keys) + ")"
-    return add(base, rule_points=shortcut.format("0", "0", total),
-               rule_reasons=shortcut.format("array('known_benign_domain')", "array('safe_tld')",
-                                            reasons))
+    df = add(base, rule_points=shortcut.format("0", "0", total),
+             rule_reasons=shortcut.format("array('known_benign_domain')", "array('safe_tld')",
+                                          reasons))
+    return pin(df, "rule_points", "rule_reasons")
 
 
 def rule_decide(scored: DataFrame) -> DataFrame:
@@ -151,10 +152,11 @@ def rule_decide(scored: DataFrame) -> DataFrame:
           WHEN rule_points >= 25 THEN 0.40D + (rule_points - 25) / 100D
           WHEN rule_points >= 12 THEN 0.20D + (rule_points - 12) / 100D
           ELSE greatest(rule_points / 100D, 0.01D) END""")
-    return add(df, rule_score="""CASE rule_result
+    df = add(df, rule_score="""CASE rule_result
         WHEN 'malicious' THEN least(60D + rule_confidence * 40, 100D)
         WHEN 'suspicious' THEN least(30D + rule_confidence * 30, 60D)
         ELSE least(rule_confidence * 15, 15D) END""")
+    return pin(df, "rule_result", "rule_confidence", "rule_score")
 
 
 def rule_score(norm_with_typosquat: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def rule_score(norm_with_typosquat: DataFrame) -> DataFrame:
 
 
 def rule_hit_stats(scored: DataFrame) -> DataFrame:
-    return (scored.select(F.explode("rule_reasons").alias("r"))
+    return (scored.select(F.explode(items("rule_reasons")).alias("r"))
             .groupBy(F.expr("substring_index(r, ':', 1)").alias("reason"))
             .agg(F.count("*").alias("n")))
 

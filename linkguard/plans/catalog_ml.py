@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from linkguard.functions.sqlutil import items
 from linkguard.operators import ml as M, normalize as N, url_features as U
 from linkguard.plans import scan as S
 from linkguard.plans.oracle_ctes import CTES
@@ -277,7 +278,7 @@ def features(t: Tables) -> DataFrame:
 
 
 def top_rows(df: DataFrame) -> DataFrame:
-    return df.select("url_id", F.posexplode("top_features").alias("i", "f")).selectExpr(
+    return df.select("url_id", F.posexplode(items("top_features")).alias("i", "f")).selectExpr(
         "url_id", "i + 1 AS place", "f.feature AS feature", "round(f.impact, 6) AS impact",
         "f.direction AS direction", "f.description AS description")
 

@@ -41,7 +41,7 @@ def scan_batch(urls: DataFrame, ml=None, ip=None, domains=None, weights=None,
     scans = I.with_host(scan_urls(urls), "full_url")
     spark = urls.sparkSession
     rollup = I.typosquat_rollup(I.typosquat_matches(scans, I.brand_dim(spark)))
-    norm = pin(I.with_host(N.url_normalize(scans), "raw_url"), "ts_host", "registered_domain")
+    norm = pin(I.with_host(N.url_normalize(scans), "raw_url"), "ts_host")
     ruled = R.rule_score(R.with_typosquat(norm, rollup))
     df = K.risk_fuse(risk_signals(ruled, ml, ip, domains), weights, thresholds)
     return add(df, url="raw_url", risk_score="round(risk_score, 2)",
