@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkguard.operators import impersonation as I, normalize as N, risk as K, rules as R
 from linkguard.plans import scan as S
-from linkguard.plans.oracle_ctes import CTES, fuse_ctes
+from linkguard.plans.oracle_ctes import CTES, fuse_ctes, half_up
 from linkguard.plans.registry import query
 from linkguard.plans.views import Tables
 
@@ -220,22 +220,22 @@ def rounded(df: DataFrame, *cols: str) -> list:
     return [F.round(c, 6).alias(c) for c in cols]
 
 
-@query("risk_normalize", f"SELECT url_id, {', '.join(f'round({s}, 6) AS {s}' for s in SIG)} "
+@query("risk_normalize", f"SELECT url_id, {', '.join(f'{half_up(s, 6)} AS {s}' for s in SIG)} "
                          "FROM k_signals")
 def _(t):
     df = K.risk_normalize(signals(t))
     return df.select("url_id", *rounded(df, *SIG))
 
 
-@query("risk_renormalize", f"SELECT url_id, {', '.join(f'round(w_{s}, 6) AS w_{s}' for s in SIG)} "
+@query("risk_renormalize", f"SELECT url_id, {', '.join(f'{half_up("w_" + s, 6)} AS w_{s}' for s in SIG)} "
                            "FROM k_weights")
 def _(t):
     df = K.risk_renormalize(K.risk_normalize(signals(t)))
     return df.select("url_id", *rounded(df, *[f"w_{s}" for s in SIG]))
 
 
-@query("risk_score", f"""SELECT url_id, round(risk_score, 6) AS risk_score, missing,
-    {', '.join(f'round(c_{s}, 6) AS c_{s}' for s in SIG)} FROM k_fused""")
+@query("risk_score", f"""SELECT url_id, {half_up('risk_score', 6)} AS risk_score, missing,
+    {', '.join(f'{half_up("c_" + s, 6)} AS c_{s}' for s in SIG)} FROM k_fused""")
 def _(t):
     df = K.risk_fuse(signals(t))
     return df.select("url_id", F.concat_ws(",", "missing_signals").alias("missing"),
@@ -258,11 +258,11 @@ _top = ", ".join(f"struct_pack(neg := -c_{s}, pos := {i}, name := '{s}', w := w_
 
 @query("risk_explain", f"""SELECT url_id, CASE WHEN n_present = 0
       THEN 'No signals available to score' ELSE concat_ws(chr(10),
-      'Risk score: ' || printf('%.1f', round(risk_score, 1)) || '/100 → ' || verdict,
+      'Risk score: ' || printf('%.1f', {half_up('risk_score', 1)}) || '/100 → ' || verdict,
       CASE WHEN len(top) > 0 THEN 'Top contributing signals:' END,
       CASE WHEN len(top) > 0 THEN array_to_string(list_transform(top, lambda e: '  • ' || e.name ||
-        ': ' || printf('%.1f', round(-e.neg, 1)) || ' pts (weight ' ||
-        printf('%.2f', round(e.w, 2)) || ')'), chr(10)) END,
+        ': ' || printf('%.1f', {half_up('-e.neg', 1)}) || ' pts (weight ' ||
+        printf('%.2f', {half_up('e.w', 2)}) || ')'), chr(10)) END,
       CASE WHEN missing <> '' THEN 'Missing signals: ' || replace(missing, ',', ', ') END) END
       AS explanation
     FROM (SELECT *, list_sort(list_filter([{_top}], lambda e: e.neg < 0)) AS top FROM k_fused)""")
@@ -276,14 +276,14 @@ def _(t):
     return K.risk_fuse(signals(t)).select("url_id", "prediction", "risk_level")
 
 
-@query("risk_custom_weights", """SELECT url_id, round(risk_score, 6) AS risk_score, verdict,
+@query("risk_custom_weights", f"""SELECT url_id, {half_up('risk_score', 6)} AS risk_score, verdict,
     confidence FROM kc_fused""")
 def _(t):
     df = K.risk_fuse(signals(t), CUSTOM_WEIGHTS, CUSTOM_THRESHOLDS)
     return df.select("url_id", *rounded(df, "risk_score"), "verdict", "confidence")
 
 
-@query("risk_fuse", """SELECT url_id, round(risk_score, 4) AS risk_score, verdict, confidence,
+@query("risk_fuse", f"""SELECT url_id, {half_up('risk_score', 4)} AS risk_score, verdict, confidence,
     prediction, risk_level FROM k_fused""")
 def _(t):
     return K.risk_fuse(signals(t)).select("url_id", F.round("risk_score", 4).alias("risk_score"),

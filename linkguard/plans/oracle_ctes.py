@@ -9,6 +9,11 @@ def q(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def half_up(x: str, n: int) -> str:
+    """Round the shortest decimal text of a double half up, as Spark's ``round`` does."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 18), {n})::DOUBLE"
+
+
 RFC = "^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)([?]([^#]*))?(#(.*))?"
 OCT = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -327,8 +332,8 @@ def fuse_ctes(p: str, source: str, weights=None, thresholds=None) -> dict[str, s
         CASE WHEN n_present = 0 THEN 'UNKNOWN' WHEN risk_score < {t['benign']} THEN 'BENIGN'
           WHEN risk_score < {t['suspicious']} THEN 'SUSPICIOUS'
           WHEN risk_score < {t['high_risk']} THEN 'HIGH_RISK' ELSE 'MALICIOUS' END AS verdict,
-        CASE WHEN n_present = 0 THEN 0 ELSE round(n_present / 5 * 0.5 +
-          least(least({marks}) / 20, 1) * 0.5, 4) END::DOUBLE AS confidence,
+        CASE WHEN n_present = 0 THEN 0 ELSE {half_up(f"""n_present / 5 * 0.5::DOUBLE +
+          least(least({marks}) / 20, 1) * 0.5::DOUBLE""", 4)} END::DOUBLE AS confidence,
         CASE verdict WHEN 'BENIGN' THEN 'benign' WHEN 'SUSPICIOUS' THEN 'suspicious'
           WHEN 'UNKNOWN' THEN 'error' ELSE 'malicious' END AS prediction,
         CASE verdict WHEN 'BENIGN' THEN 'SAFE' WHEN 'SUSPICIOUS' THEN 'MEDIUM'
