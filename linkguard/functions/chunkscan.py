@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,33 +21,36 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk, *, sum
     """``chunk`` is a Column that grows with ``order``.
 
     ``summarize(group) -> tuple`` (columns of ``summary_schema``), ``step(state, summary_row) ->
-    state`` and ``replay(group, state) -> DataFrame`` (columns of ``out_schema``) run in Python on
-    one chunk at a time; a state is one value of ``state_schema`` type.
+    state`` and ``replay(group, state) -> dict of arrays`` (columns of ``out_schema``) run in Python
+    on one chunk at a time, a dict of arrays; a state is one value of ``state_schema`` type.
     """
     part = df.withColumn("_chunk", chunk)
     by = [*keys, "_chunk"]
     types = dict(df.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-    def groups(batches: Iterator[pd.DataFrame], cols) -> Iterator[pd.DataFrame]:
-        """Complete groups of a sorted stream of batches."""
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        """Complete groups of a sorted stream of batches, as column name -> array slice."""
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if not len(b):
                 continue
-            ids = (b[cols] != b[cols].shift()).any(axis=1).cumsum().to_numpy()
-            cut = (ids == ids[-1]).argmax()
-            for _, g in b.iloc[:cut].groupby(ids[:cut], sort=False):
-                yield g
-            rest = b.iloc[cut:]
+            cols = {c: b[c].to_numpy() for c in b.columns}
+            new = np.zeros(len(b) - 1, dtype=bool)
+            for c in by:
+                new |= (cols[c][1:] != cols[c][:-1]).astype(bool)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            for i, j in zip(starts[:-1], starts[1:]):
+                yield {c: v[i:j] for c, v in cols.items()}
+            rest = b.iloc[starts[-1]:]
         if rest is not None and len(rest):
-            yield rest
+            yield {c: rest[c].to_numpy() for c in rest.columns}
 
     def run_summaries(batches):
         rows = []
-        for g in groups(batches, by):
-            rows.append((*[g[c].iloc[0] for c in by], *summarize(g)))
+        for g in groups(batches):
+            rows.append((*[g[c][0] for c in by], *summarize(g)))
             if len(rows) >= 10000:
                 yield pd.DataFrame(rows, columns=[*by, *names])
                 rows = []
@@ -68,16 +72,22 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk, *, sum
             yield out
 
     def run_replay(batches):
-        buf, n = [], 0
-        for g in groups(batches, by):
-            buf.append(replay(g, g["_state"].iloc[0]))
-            n += len(buf[-1])
+        out, n = {c: [] for c in out_names}, 0
+
+        def frame():
+            return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+        for g in groups(batches):
+            got = replay(g, g["_state"][0])
+            for c in out_names:
+                out[c].append(got[c])
+            n += len(got[out_names[0]])
             if n >= 10000:
-                yield pd.concat(buf)
-                buf, n = [], 0
-        if buf:
-            yield pd.concat(buf)
+                yield frame()
+                out, n = {c: [] for c in out_names}, 0
+        if n:
+            yield frame()
 
+    out_names = [c.split()[0] for c in out_schema.split(", ")]
     names = [c.split()[0] for c in summary_schema.split(", ")]
     sorted_parts = part.repartition(*by).sortWithinPartitions(*by, *order)
     summaries = sorted_parts.mapInPandas(run_summaries,

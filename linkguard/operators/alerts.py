@@ -45,7 +45,7 @@ def alert_throttle(attempts: DataFrame, seconds: int = 60, id_col: str = "attemp
             cur = np.where(live, np.minimum(to, len(t) - 1), cur)
 
     def summarize(g):
-        t = g["us"].to_numpy()
+        t = g["us"]
         begin = (t[0] // span) * span
         n = min(int(np.searchsorted(t, begin + gap)) + 1, len(t))
         first = np.arange(n)
@@ -59,13 +59,13 @@ def alert_throttle(attempts: DataFrame, seconds: int = 60, id_col: str = "attemp
         return int(last[i]) if i < len(last) else state
 
     def replay(g, state):
-        t = g["us"].to_numpy()
+        t = g["us"]
         i = 0 if state is None or pd.isna(state) else int(np.searchsorted(t, int(state) + gap))
         hits = []
         while i < len(t):
             hits.append(i)
             i = int(np.searchsorted(t, t[i] + gap))
-        return g.iloc[hits][[id_col]]
+        return {id_col: g[id_col][hits]}
 
     emitted = chunked_scan(
         times, keys, ["us"], time_chunk("us", chunk_seconds),
@@ -137,19 +137,19 @@ def status_history(commands: DataFrame, alerts: DataFrame, chunk_seconds: int =
             n = code.get(s)
             if n is not None:
                 state = np.where(allowed[state, n], n, state)
-        return state.tolist(), g["status"].iloc[0]
+        return state.tolist(), g["status"][0]
 
     def step(state, row):
         moves, start = row
         return names[moves[code[state or start]]]
 
     def replay(g, state):
-        met, cur = [], state if isinstance(state, str) else g["status"].iloc[0]
+        met, cur = [], state if isinstance(state, str) else g["status"][0]
         for s in g["new_status"]:
             met.append(cur)
             if s in code and allowed[code[cur], code[s]]:
                 cur = s
-        return pd.DataFrame({"cmd_id": g["cmd_id"].to_numpy(), "met_status": met})
+        return {"cmd_id": g["cmd_id"], "met_status": np.array(met, dtype=object)}
 
     met = chunked_scan(
         known, ["alert_id"], ["us", "cmd_id"], time_chunk("us", chunk_seconds),
