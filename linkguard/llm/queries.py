@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, tokens
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -43,3 +43,15 @@ def op5(spark, sf_dir):
 @query("op7_mixing")
 def op7(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    """The public tokenizer file that op10 and the pipeline use; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_token_output")
+def op10(spark, sf_dir):
+    return tokens.digest(table(spark, sf_dir, "documents"), vocabulary())
