@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, tokens
+from . import decontaminate, mixing, tokens, topk
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -55,3 +55,16 @@ def vocabulary() -> str:
 @query("op10_token_output")
 def op10(spark, sf_dir):
     return tokens.digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op3_top_k", r"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""")
+def op3(spark, sf_dir):
+    return topk.digest(table(spark, sf_dir, "embeddings"))
