@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, tokens, topk
+from . import decontaminate, mixing, tokens, topk, url_filter
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -68,3 +68,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """)
 def op3(spark, sf_dir):
     return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_url_filter")
+def op4(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
