@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, tokens, topk, url_filter
+from . import decontaminate, language, mixing, secrets, tokens, topk, url_filter
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +73,58 @@ def op3(spark, sf_dir):
 @query("op4_url_filter")
 def op4(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def _positions(kind: str, pattern: str) -> str:
+    """SQL for row, kind, hit, start and stop of all matches, by running sums over pieces and matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT row, '{kind}' AS kind, hit, stop - length(hit) AS start, stop FROM (
+  SELECT row, hit, sum(length(piece) + length(hit)) OVER (PARTITION BY row ORDER BY nth) AS stop FROM (
+    SELECT row, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, generate_subscripts(hits, 1) AS nth FROM (
+      SELECT row, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS pieces
+      FROM d WHERE regexp_matches(text, '{p}'))))"""
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secrets_sql() -> str:
+    sign = r"""["']?\x20*[:=]\x20*["']?"""
+    either = lambda words: "(?:" + "|".join(_any_case(w) for w in words) + ")"
+    name = either(["password", "passwd", "secret", "token", "api_?key"]) + sign
+    patterns = dict(secrets.PATTERNS, assign=name + "[A-Za-z0-9+/_.=-]+",
+                    id=either(["username", "user", "login", "client_?id", "account"]) + sign + "[A-Za-z0-9._@-]{3,}")
+    found = " UNION ALL ".join(_positions(k, p) for k, p in patterns.items())
+    case = lambda m: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in m.items()) + " END"
+    value = (name + "([A-Za-z0-9+/_.=-]+)").replace("'", "''")
+    strong = "('assign', 'access', 'hex')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+g AS (SELECT row, CASE WHEN kind = 'access' AND length(hit) < 20 THEN 'id' ELSE kind END AS kind, start, stop FROM f
+      WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{value}', 1)) >= 6 WHEN 'access' THEN length(hit) >= 8
+            WHEN 'secret' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') ELSE true END),
+r AS (SELECT *, {case(secrets.RANK)} AS rank, {case(secrets.ROLE)} AS role FROM g),
+p AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.row = r.row AND o.rank < r.rank
+                                        AND o.start < r.stop AND o.stop > r.start)),
+t AS (SELECT * FROM p WHERE kind IN {strong} OR EXISTS (SELECT 1 FROM p o WHERE o.row = p.row AND o.role <> p.role
+                                                        AND abs(o.start - p.start) <= {secrets.REACH})),
+n AS (SELECT row, kind, {case({k: i for i, k in enumerate(secrets.KINDS)})} AS nth, start,
+             kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s FROM t),
+a AS (SELECT row, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+             count(*) FILTER (kind = 'hex') AS h, string_agg(s, ',' ORDER BY start, nth) FILTER (kind IN {strong}) AS base,
+             string_agg(s, ',' ORDER BY start, nth) AS every FROM n GROUP BY row)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN a USING (row)
+"""
+
+
+@query("op6_secret_scan", _secrets_sql())
+def op6(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))

@@ -111,7 +111,7 @@ def search(vecs: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     left = asked.join(number, "block").withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = dealt.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(max(1, asked.count()) - 1))))
 
-    def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
+    def meet(key, a, b):
         out = [[], [], [], []]
         blocks = [(ids, m) for _, ids, m in _load(b)]
         for block, qids, q in _load(a) if blocks else ():
