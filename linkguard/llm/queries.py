@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, secrets, tokens, topk, url_filter
+from . import decontaminate, language, mixing, secrets, substring_dedup, tokens, topk, url_filter
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -128,3 +128,20 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 @query("op6_secret_scan", _secrets_sql())
 def op6(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM w)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM r WHERE nth > 1),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+k AS (SELECT t.doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed,
+             string_agg(word, ' ' ORDER BY t.p) FILTER (gone.p IS NULL) AS kept
+      FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.p = gone.p GROUP BY t.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+""")
+def op1(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
