@@ -134,9 +134,8 @@ def bounds(keys: np.ndarray, bits: int, bucket_bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, steps), len(keys))
 
 
-def messages(part: int, keys: np.ndarray, bits: int, bucket_bits: int, extra=None, flags=None) -> pa.Table:
-    """Rows of ROW for one part. extra: array of integers per key; flags: boolean arrays per key."""
-    at = bounds(keys, bits, bucket_bits)
+def messages(part: int, keys: np.ndarray, at: np.ndarray, extra=None, flags=None) -> pa.Table:
+    """Rows of ROW for one part. at: bounds of the buckets; extra: integers per key; flags: booleans per key."""
     out = [[], [], [], [], [], []]
     for b in np.flatnonzero(np.diff(at)):
         lo, hi = at[b], at[b + 1]

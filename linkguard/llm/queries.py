@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, secrets, substring_dedup, tokens, topk, url_filter
+from . import decontaminate, language, mixing, secrets, substring_dedup, suffix_dedup, tokens, topk, url_filter
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +145,8 @@ FROM w LEFT JOIN k USING (doc_id)
 """)
 def op1(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))

@@ -48,7 +48,7 @@ class _Part:
         aligned = (within[:len(self.probe_ok)] % self.block == 0)[self.probe_ok]
         anchor = np.zeros(len(self.probe), bool)
         anchor[self.which[aligned]] = True
-        return parts.messages(part, self.probe, bits, bucket_bits, flags=[anchor, self.count > 1])
+        return parts.messages(part, self.probe, parts.bounds(self.probe, bits, bucket_bits), flags=[anchor, self.count > 1])
 
     def candidates(self, hits: pa.Table, bits: int, bucket_bits: int):
         """Windows that hold an anchored block: their starts, and their keys sorted once, with the first of each."""
@@ -94,7 +94,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = parts.PART_
         p = _Part(blob, window, bits)
         a, b = p.candidates(told["hits"], bits, split)
         ids = parts.doc_ids(p.table)[p.owner()[p.at[p.firsts]]]
-        return parts.messages(part, a, 64, split, extra=[b, ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)])
+        rising = ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)  # unsigned, in the order of the ids
+        return parts.messages(part, a, parts.bounds(a, 64, split), extra=[b, rising])
 
     def first_seen(bucket, t):
         names, sizes, keys, _, (b, ids), _ = parts.received(t, n_extra=2)
