@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import parts, texthash
@@ -50,7 +50,6 @@ class _Part:
     def __init__(self, blob: bytes, size: int):
         self.table = parts.in_order(blob)
         raw, offs = texthash.joined(self.table.column("text"))
-        self.digest = texthash.slice_hashes(texthash.byte_sums(raw), offs[:-1], offs[1:])
         buf = texthash.FOLD[raw]
         start, end, first = texthash.words(buf, offs)
         h = texthash.word_hashes(buf, start, end)
@@ -73,8 +72,8 @@ class _Part:
 
 
 def _classes(docs: DataFrame, size: int, percent: int, part_bytes: int) -> DataFrame:
-    """Staged: doc_id, digest, n, set_a, set_b, toks (shingles that occur elsewhere, rare first; null if too few do)."""
-    packed = parts.pack(docs, part_bytes)
+    """Staged: doc_id, digest (of the text), n, set_a, set_b, toks (shingles that occur elsewhere, rare first; null if too few do)."""
+    packed = parts.pack(docs, part_bytes, digest=True)
     layout = parts.Layout(packed)
     bits, split = layout.filter_bits, layout.bucket_bits
 
@@ -110,7 +109,7 @@ def _classes(docs: DataFrame, size: int, percent: int, part_bytes: int) -> DataF
         for i in range(len(n)):
             mine = order[p.first[i] + n[i] - shared[i]:p.first[i + 1]] if live[i] else None
             toks.append(None if mine is None else p.key[mine].tobytes())
-        return pa.table({"doc_id": parts.null_ids(ids), "digest": pa.array(p.digest.view(np.int64)),
+        return pa.table({"doc_id": parts.null_ids(ids), "digest": p.table.column("digest"),
                          "n": pa.array(n, pa.int64()), "set_a": pa.array(a), "set_b": pa.array(b),
                          "toks": pa.array(toks, pa.binary())})
 
@@ -246,3 +245,22 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, part_byte
 
 def digest(docs: DataFrame) -> DataFrame:
     return link(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, the one with the least doc_id (of rows that share it, any); columns as they came.
+
+    Rows without a component all stay. Near duplicates take five words and 0.8 here, as elsewhere in a pipeline.
+    """
+    found = link(docs, size, percent).where("component is not null").select("doc_id", "digest", "component").distinct()
+    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    gone = stage(found.join(best, "component").select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"),
+        ((F.col("doc_id") == F.col("k.doc_id")) & (F.col("digest") == F.col("k.digest"))).alias("_stays")), "verdicts")
+    names = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    judged = keyed.join(gone, (keyed["doc_id"].cast("long") == gone["_id"]) & (keyed["_key"] == gone["_digest"]), "left")
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    free = judged.where("_id is null").select(*names)
+    held = judged.where("_stays").withColumn("_nth", nth).where("_nth = 1").select(*names)
+    return free.unionByName(held)

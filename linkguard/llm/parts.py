@@ -40,10 +40,11 @@ def decoded(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def pack(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Staged table of parts: part, bytes, blob. Columns doc_id (long) and text (string, null as empty)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def pack(docs: DataFrame, part_bytes: int = PART_BYTES, digest: bool = False) -> DataFrame:
+    """Staged table of parts: part, bytes, blob. A blob has doc_id (long), text (null as empty) and, if asked for, digest."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+                       *([F.xxhash64(text).alias("digest")] if digest else []))
 
     def cut(batches):
         task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0

@@ -41,3 +41,30 @@ def substring_dedup(docs, window):
             seen.add(key)
         gone.append(g)
     return [(d, len(w), sum(g), sha(" ".join(x for x, y in zip(w, g) if not y).encode())) for (d, w), g in zip(words, gone)]
+
+
+def shingles(text, size):
+    w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard(docs, size, percent):
+    """docs: list of (doc_id, text). Multiset of doc_id, n_shingles, component_id."""
+    sets = [shingles(t, size) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(docs)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if k and docs[i][0] is not None and docs[j][0] is not None \
+                    and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets))]
