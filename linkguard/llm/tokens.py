@@ -31,11 +31,21 @@ MAGIC = b"LGS8"
 PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30),
          (1, 60)]
 ESCAPE = 15
-#: Ids per segment, and distinct words that a Python worker remembers.
-SEGMENT, REMEMBER = 1 << 20, 500_000
+#: Bytes of text per segment, and distinct words that a Python worker remembers.
+SEGMENT_BYTES, REMEMBER = 4 << 20, 1_000_000
 _COUNT = np.array([p[0] for p in PACKS] + [0, 1])
 _WIDTH = np.array([p[1] for p in PACKS] + [0, 64])
 _NULL_DOC = -(1 << 63)
+_SHORT_BITS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
+
+
+def _bit_lengths(a: np.ndarray) -> np.ndarray:
+    if a.max() < 1 << 16:
+        return _SHORT_BITS[a]
+    bits = np.zeros(a.shape, np.uint8)
+    for shift in (32, 16, 8, 4, 2, 1):
+        bits += ((a >> bits.astype(np.uint64)) >> np.uint64(shift) > 0).astype(np.uint8) * np.uint8(shift)
+    return bits + (a > 0)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -48,11 +58,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     flat = np.zeros(rows * BLOCK, np.uint64)
     flat[:n] = ids
     grid[:, :BLOCK] = flat.reshape(rows, BLOCK)
-    bits = np.zeros(grid.shape, np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        up = (grid >> bits.astype(np.uint64)) >> np.uint64(shift) > 0
-        bits += (up * shift).astype(np.uint8)
-    bits += (grid > 0).astype(np.uint8)
+    bits = _bit_lengths(grid)
     length = np.minimum(BLOCK, n - BLOCK * np.arange(rows))
     choice = np.full((rows, BLOCK), ESCAPE, np.uint8)
     done = np.zeros((rows, BLOCK), bool)
@@ -141,87 +147,115 @@ def read_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of many texts. White space always parts tokens in this vocabulary, so each distinct word is encoded once."""
+    """Ids of many texts. White space always parts tokens in this vocabulary, so each distinct word is encoded once.
+
+    Words are known by a 64-bit hash; a worker remembers at most REMEMBER of them.
+    """
 
     plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.runs = Tokenizer(self.tok.model)  # the same merges, without the passes that lower-case letter runs don't need
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self):
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.len = [], []
+        """Forget all words. Piece 0 is the empty one."""
+        self.words, self.pairs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pieces: dict[str, int] = {"": 0}
+        self.flat, self.at = np.zeros(1 << 16, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), np.zeros(1 << 12, np.int64)
+        self.n = 1
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBER:
-            self.clear()
-        shapes, stems, others = [], {}, {}
+    def keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add pieces: their ids one after another, and how many each has."""
+        used, n = self.at[self.n], self.n
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(names) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[used:used + len(ids)] = ids
+        self.at[n + 1:n + 1 + len(names)] = used + np.cumsum(sizes)
+        self.n += len(names)
+        self.pieces.update(zip(names, range(n, self.n)))
+
+    def learn(self, words: list[bytes]) -> list[int]:
+        """The pair of pieces of each word. Cut words into a run of letters and marks behind it, which the tokenizer parts too, and learn new pieces."""
+        cut, runs, others = [], {}, {}
         for w in words:
             text = w.decode("utf-8", "surrogatepass")
             m = self.plain.fullmatch(text)
-            if m:  # letters of one script and marks behind them are cut apart by the tokenizer
-                shape = (m[1].lower(), m[2])
-                stems[shape[0]] = None
+            pair = (m[1].lower(), m[2]) if m else ("", text)
+            cut.append(pair)
+            if pair[0] not in self.pieces:
+                runs[pair[0]] = None
+            if pair[1] not in self.pieces:
+                others[pair[1]] = None
+        runs = list(runs)
+        for i in range(0, len(runs), 2000):
+            part = runs[i:i + 2000]
+            ids = np.array(self.runs.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.last[ids]) + 1  # a run of letters is one word, and ends where a token ends one
+            if len(ends) == len(part):
+                self.keep(part, ids, np.diff(ends, prepend=0))
             else:
-                shape = (None, text)
-            shapes.append(shape)
-            others[shape[1]] = None
-        for group, run in (([s for s in stems if s not in self.pieces], True),
-                           ([s for s in others if s and s not in self.pieces], False)):
-            for i in range(0, len(group), 2000):
-                part = group[i:i + 2000]
-                if not run:
-                    self.pieces.update(zip(part, self.ids(part)))
-                    continue
-                ids = np.array(self.ids([" ".join(part)])[0])  # a letter run ends where a token ends a word
-                cuts = np.flatnonzero(self.last[ids]) + 1
-                got = np.split(ids, cuts[:-1])
-                self.pieces.update(zip(part, (g.tolist() for g in got) if len(got) == len(part) else self.ids(part)))
-        for w, (stem, rest) in zip(words, shapes):
-            ids = (self.pieces[stem] if stem else []) + (self.pieces[rest] if rest else [])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.known[w] = len(self.at)
-            self.at.append(self.used)
-            self.len.append(len(ids))
-            self.used += len(ids)
-        self.pieces = {} if len(self.pieces) > REMEMBER else self.pieces
+                others.update(dict.fromkeys(part))
+        each = self.ids(list(others))
+        self.keep(list(others), np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64))
+        get = self.pieces
+        return [get[a] << 32 | get[b] for a, b in cut]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each text, ids per text."""
+        if max(len(self.words), self.n) > REMEMBER:
+            self.clear()
         buf, offs = texthash.joined(texts)
         start, stop, first = texthash.words(buf, offs)
-        _, at, which = np.unique(texthash.word_hashes(buf, start, stop), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        distinct = [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
-        missing = [w for w in distinct if w not in self.known]
-        if missing:
-            self.learn(missing)
-            if len(missing) < len(distinct):  # the memory may have been cleared
-                self.learn([w for w in distinct if w not in self.known])
-        entry = np.array([self.known[w] for w in distinct], np.int64)[which]
-        size, begin = np.array(self.len, np.int64)[entry], np.array(self.at, np.int64)[entry]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        names, at, which = np.unique(texthash.word_hashes(buf, start, stop), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.words, names)
+        known = place < len(self.words)
+        known[known] = self.words[place[known]] == names[known]
+        pair = np.zeros(len(names), np.int64)
+        pair[known] = self.pairs[place[known]]
+        if not known.all():
+            raw, new = buf.tobytes(), at[~known]
+            pair[~known] = self.learn([raw[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist())])
+            every = np.concatenate([self.words, names[~known]])
+            order = np.argsort(every, kind="stable")
+            self.words, self.pairs = every[order], np.concatenate([self.pairs, pair[~known]])[order]
+        own, at_own = _gather(self.flat, self.at, np.stack([pair >> 32, pair & 0xFFFFFFFF], 1).reshape(-1))
+        ids, upto = _gather(own, at_own[::2], which)
         ends = upto[first[1:]]
         return np.insert(ids, ends, end).astype(np.uint64), np.diff(np.concatenate([[0], ends])) + 1
 
 
+def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices flat[at[i]:at[i + 1]] for each i of `which` one after another, and where each begins (and the end)."""
+    size = at[which + 1] - at[which]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(at[which] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The encoder that this Python worker keeps from task to task. Closures must ask here: a table that a closure names is
+    copied with it, and would start empty in each task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Encode, pack and write all documents; the written table: shard, seq, n_ids, segment.
 
@@ -233,12 +267,10 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     rows = rows.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
 
     def encode(batches):
-        if vocabulary not in _ENCODERS:
-            _ENCODERS[vocabulary] = Encoder(vocabulary)
-        coder, shard, seq = _ENCODERS[vocabulary], TaskContext.get().partitionId(), 0
+        coder, shard, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
             size = b.column(1).nbytes
-            step = max(1, b.num_rows * (4 * SEGMENT) // max(1, size))
+            step = max(1, b.num_rows * SEGMENT_BYTES // max(1, size))
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
                 ids, lens = coder.encode(part.column(1), end_id)
