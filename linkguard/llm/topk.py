@@ -7,7 +7,7 @@ k-th score. Blocks of a range and blocks of queries meet in one task each; the k
 
 Defined results: rows whose id or vector is null, or that hold a null or non-finite component, take no part. A vector with
 fewer components counts as filled up with zeros. Equal scores go by smaller id. Rows that share the query's id are not its
-candidates; two query rows with one id each get their ranks. Extra input columns are ignored.
+candidates; two query rows with one id each get their ranks. Scores must fit in 64 bits. Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def search_blocks(q: np.ndarray, qids: np.ndarray, blocks: list[tuple[np.ndarray
     width = max([q.shape[1], *(m.shape[1] for _, m in blocks)])
     top = max([1, *(int(np.abs(m).max()) for m in [q, *(m for _, m in blocks)] if m.size)])
     kind = np.float64 if top * top * max(1, width) < 1 << 53 else np.int64  # doubles are exact below 2**53
-    none = kind(-np.inf) if kind is np.float64 else np.iinfo(np.int64).min
+    none = kind(-np.inf) if kind is np.float64 else -np.iinfo(np.int64).max  # its negative must exist
     q, data = _wide(q, width, kind), [(ids, _wide(m, width, kind)) for ids, m in blocks]
     high, low = np.array([m.max(0) for _, m in data]), np.array([m.min(0) for _, m in data])
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
