@@ -76,12 +76,11 @@ def alert_throttle(attempts: DataFrame, seconds: int = 60, id_col: str = "attemp
 
 
 def coerce_alert(df: DataFrame) -> DataFrame:
-    """Unknown types become ``other``, unknown severities ``low``; descriptions are truncated."""
+    """Unknown types become ``other``, unknown severities ``low``."""
     return add(df, alert_type=f"CASE WHEN {in_list('alert_type', C.ALERT_TYPES)} THEN alert_type "
                               "ELSE 'other' END",
                severity=f"CASE WHEN {in_list('severity', C.SEVERITIES)} THEN severity "
-                        "ELSE 'low' END",
-               description="substr(description, 1, 65000)")
+                        "ELSE 'low' END")
 
 
 def alert_create(attempts: DataFrame, ips: DataFrame, seconds: int = 60):

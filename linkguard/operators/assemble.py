@@ -23,7 +23,7 @@ def ip_side(ips: DataFrame, table, threats, alerts, abuse, geo, traffic, as_of:
     intel = I.intelligence(ips, table, threats, alerts, abuse, geo, as_of)
     parts = [I.structural(ips), I.history_features(ips, table, threats, as_of),
              I.intel_features(intel), I.geo_features(ips, geo),
-             G.traffic_features(G.traffic_by_ip(traffic, ips), as_of)]
+             G.traffic_features(G.flow_ends(traffic, ips), as_of)]
     return reduce(lambda a, b: a.join(b, "ip_address", "left"), parts)
 
 

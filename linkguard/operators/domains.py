@@ -92,7 +92,7 @@ def whois_by_domain(whois: DataFrame, as_of: str) -> DataFrame:
     df = add(df, domain_age_days=f"coalesce(timestampdiff(DAY, creation_date, {now}), 0)",
              days_until_expiry="cast(coalesce(floor(timestampdiff(SECOND, "
                                f"{now}, expiration_date) / 86400D), 0) as bigint)",
-             nameserver_count="least(ns, 10)",
+             nameserver_count="ns",
              is_privacy_protected=f"int(coalesce({words}, false))",
              is_free_tld=f"int({any_endswith('domain', C.FREE_TLDS)})")
     df = add(df, is_new_domain="int(creation_date IS NOT NULL AND domain_age_days < 30)",

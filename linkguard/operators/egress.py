@@ -115,10 +115,17 @@ def egress_policy(urls: DataFrame, dns: DataFrame | None, url_col: str = "full_u
 
 def redirect_chain(hops: DataFrame, dns: DataFrame | None,
                    max_redirects: int = C.MAX_REDIRECTS) -> DataFrame:
-    """Verdict per chain: the first blocked hop among the start and ``max_redirects`` redirects."""
-    df = egress_policy(hops.where(F.col("hop") <= max_redirects), dns)
-    bad = F.when(~F.col("is_safe"), F.col("hop"))
+    """Verdict per chain: the first blocked hop among those whose destination is checked.
+
+    Following ``max_redirects`` redirects takes ``max_redirects + 1`` requests, and the target of
+    the last one's answer is checked too. A chain that goes on after it has too many redirects and
+    is not safe.
+    """
+    last = max_redirects + 1
+    df = egress_policy(hops, dns)
+    bad = F.when(~F.col("is_safe") & (F.col("hop") <= last), F.col("hop"))
+    longer = F.max("hop") > last
     return df.groupBy("chain_id").agg(
         F.count("*").alias("hops"), F.min(bad).alias("blocked_hop"),
-        F.min_by("reason", bad).alias("reason"),
-        F.every("is_safe").alias("is_safe"))
+        F.coalesce(F.min_by("reason", bad), F.when(longer, F.lit("too_many_redirects"))).alias("reason"),
+        (F.every(F.col("is_safe")) & ~longer).alias("is_safe"))

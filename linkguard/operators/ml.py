@@ -36,13 +36,10 @@ def split_bucket(key: str, seed: int = 42) -> str:
     return f"cast(conv(substr(md5(concat({key}, ':{seed}')), 1, 8), 16, 10) as bigint) % 100"
 
 
-def group_split(df: DataFrame, group: str = "domain", test: float = 0.2, seed: int = 42,
-                row_key: str = "url_id") -> DataFrame:
-    """Adds ``is_test``: whole groups go to one side, by a hash of the group. With fewer than five
-    groups rows are hashed instead (which keeps the class shares of a random split)."""
-    few = df.select(group).distinct().limit(5).count() < 5
-    key = f"cast({row_key} as string)" if few else group
-    return add(df, is_test=f"{split_bucket(key, seed)} < {int(round(test * 100))}")
+def group_split(df: DataFrame, group: str = "domain", test: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``is_test``: whole groups go to one side, by a hash of the group, however few there are.
+    ``leakage_report`` shows a side that stayed empty."""
+    return add(df, is_test=f"{split_bucket(group, seed)} < {int(round(test * 100))}")
 
 
 def leakage_report(split: DataFrame, group: str = "domain") -> DataFrame:

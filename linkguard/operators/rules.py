@@ -104,7 +104,7 @@ def points_sql(key: str) -> str:
 def reasons_sql(key: str) -> str:
     """SQL array of zero or more reasons."""
     if key == "typosquat":
-        return "transform(slice(ts_matches, 1, 2), m -> concat('typosquat:', m.brand, '(', "\
+        return "transform(ts_matches, m -> concat('typosquat:', m.brand, '(', "\
                "m.technique, ')'))"
     one = _case(dict(RULES)[key], lambda p, r: r or "NULL", "NULL")
     return f"filter(array({one}), r -> r IS NOT NULL)"

@@ -88,9 +88,9 @@ def threat_upsert(threats: DataFrame, batch: DataFrame, as_of: str) -> DataFrame
 
 
 def feature_cache_upsert(cache: DataFrame, batch: DataFrame, as_of: str,
-                         max_chars: int = 60000) -> DataFrame:
-    """Latest vector per URL; the processing time is kept when the new one is NULL; floats of
-    oversized vectors are rounded to four places."""
+                         round_to: int | None = None) -> DataFrame:
+    """Latest vector per URL; the processing time is kept when the new one is NULL. ``round_to``
+    rounds the numbers of every vector."""
     def rows(df, g, at):
         return df.select("url_id", "feature_vector", "feature_count", "processing_time_ms",
                          at.alias("extraction_timestamp"),
@@ -100,11 +100,11 @@ def feature_cache_upsert(cache: DataFrame, batch: DataFrame, as_of: str,
     df = both.groupBy("url_id").agg(
         F.max_by(F.struct("feature_vector", "feature_count", "extraction_timestamp"), "ord")
         .alias("v"), _last("processing_time_ms", F.col("ord")).alias("processing_time_ms"))
-    small = F.expr("to_json(transform_values(from_json(v.feature_vector, 'map<string,double>'), "
-                   "(k, x) -> round(x, 4)))")
+    vector = F.col("v.feature_vector") if round_to is None else F.expr(
+        "to_json(transform_values(from_json(v.feature_vector, 'map<string,double>'), "
+        f"(k, x) -> round(x, {round_to})))")
     return df.select(
-        "url_id", F.when(F.length("v.feature_vector") > max_chars, small)
-        .otherwise(F.col("v.feature_vector")).alias("feature_vector"),
+        "url_id", vector.alias("feature_vector"),
         "v.feature_count", "v.extraction_timestamp", "processing_time_ms")
 
 

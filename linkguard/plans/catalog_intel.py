@@ -11,6 +11,7 @@ from linkguard.plans import scan as S
 from linkguard.plans.oracle_ctes import CTES, fuse_ctes, q
 from linkguard.plans.registry import fmt, query
 from linkguard.plans.views import AS_OF, Dialect, Tables
+from linkguard.shared import shared_folder
 from linkguard.sources import feeds, flows, sinks
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -70,8 +71,7 @@ def _(t):
 
 @query("ip_blocklist_scan", """SELECT DISTINCT ip FROM (
     SELECT split_part(CASE WHEN x LIKE '% %' THEN split_part(x, ' ', 1) ELSE x END, '/', 1) AS ip
-    FROM (SELECT trim(line) AS x FROM netset_lines QUALIFY row_number() OVER
-          (PARTITION BY source ORDER BY pos) <= 50) WHERE x <> '' AND x NOT LIKE '#%')
+    FROM (SELECT trim(line) AS x FROM netset_lines) WHERE x <> '' AND x NOT LIKE '#%')
     WHERE regexp_full_match(ip, '[0-9]+([.][0-9]+){3}')""")
 def _(t):
     return feeds.ip_blocklist(t.netset_lines)
@@ -132,11 +132,11 @@ def _(t):
 
 # --- flows ---------------------------------------------------------------------------------------
 CTES["a_flow_urls"] = """SELECT *, CASE WHEN http_host <> '' THEN http_host
-      WHEN sni LIKE '%.%' AND len(sni) BETWEEN 4 AND 99 THEN sni
-      WHEN rtrim(qname, '.') LIKE '%.%' AND len(rtrim(qname, '.')) > 3 THEN rtrim(qname, '.') END
+      WHEN sni LIKE '%.%' THEN sni
+      WHEN rtrim(qname, '.') LIKE '%.%' THEN rtrim(qname, '.') END
       AS domain,
     CASE WHEN http_host <> '' THEN 'http://' || http_host || coalesce(nullif(http_path, ''), '/')
-      WHEN sni LIKE '%.%' AND len(sni) BETWEEN 4 AND 99 THEN 'https://' || sni || '/'
+      WHEN sni LIKE '%.%' THEN 'https://' || sni || '/'
       ELSE 'dns://' || rtrim(qname, '.') END AS url FROM flows_v"""
 
 
@@ -252,7 +252,7 @@ def _(t):
     return E.dns_lookup(t.dns_v, "docs.python.org", "MX").select("record_id", "record_value", "ttl")
 
 
-CTES["e_whois"] = f"""SELECT *, least(nsc, 10) AS nameserver_count,
+CTES["e_whois"] = f"""SELECT *, nsc AS nameserver_count,
     coalesce(date_diff('second', creation_date, {NOW}) // 86400, 0) AS domain_age_days,
     cast(coalesce(floor(date_diff('second', {NOW}, expiration_date) / 86400.0), 0) AS BIGINT)
       AS days_until_expiry,
@@ -627,13 +627,13 @@ def _(t):
 # --- traffic features -------------------------------------------------------------------------------
 CTES["g_top"] = """SELECT *, row_number() OVER (PARTITION BY ip_address ORDER BY ts DESC,
     log_id DESC) AS rank FROM (SELECT *, src_ip AS ip_address FROM traffic_v UNION
-    SELECT *, dst_ip FROM traffic_v) QUALIFY rank <= 1000"""
+    SELECT *, dst_ip FROM traffic_v)"""
 CTES["g_features"] = f"""SELECT ip_address,
     round(count(*) FILTER (ts >= {NOW} - INTERVAL 600 MINUTE) / 600, 2) AS request_frequency,
     count(DISTINCT dst_ip) AS unique_destinations, count(DISTINCT protocol) AS protocol_diversity,
     round(count(*) FILTER (protocol = 'HTTPS') / count(*), 4) AS https_ratio,
     round(coalesce(avg(nullif(payload_size, 0)), 0), 2) AS avg_payload_size,
-    round(least(count(DISTINCT nullif(dst_port, 0)) FILTER (rank <= 500) / 50, 1), 4)
+    round(least(count(DISTINCT nullif(dst_port, 0)) / 50, 1), 4)
       AS port_scan_likelihood,
     round(CASE WHEN count(*) < 2 THEN 0 WHEN avg(gap) = 0 THEN 1 ELSE stddev_pop(gap) / avg(gap)
       END, 4)::DOUBLE AS traffic_burstiness
@@ -641,13 +641,13 @@ CTES["g_features"] = f"""SELECT ip_address,
       log_id), ts) / 1e6 AS gap FROM g_top) GROUP BY 1"""
 
 
-@query("traffic_by_ip", "SELECT ip_address, log_id, rank FROM g_top")
+@query("traffic_by_ip", "SELECT ip_address, log_id, rank FROM g_top WHERE rank <= 20")
 def _(t):
-    return G.traffic_by_ip(t.traffic_v).select("ip_address", "log_id", "rank")
+    return G.traffic_by_ip(t.traffic_v, 20).select("ip_address", "log_id", "rank")
 
 
 def traffic_features(t: Tables) -> DataFrame:
-    return G.traffic_features(G.traffic_by_ip(t.traffic_v), AS_OF, 600)
+    return G.traffic_features(G.flow_ends(t.traffic_v), AS_OF, 600)
 
 
 @query("traffic_features", "SELECT * FROM g_features")
@@ -752,12 +752,12 @@ def _(t):
 
 
 EVIDENCE_SQL = """SELECT url_id, CASE WHEN ev <> '' THEN ev ELSE array_to_string(list_transform(
-      list_filter(string_split(reasons, '|'), lambda r: r <> '')[1:5],
+      list_filter(string_split(reasons, '|'), lambda r: r <> ''),
       lambda r: 'Rule triggered: ' || r), chr(10)) END AS evidence
     FROM (SELECT *, concat_ws(chr(10),
       CASE WHEN rule_score >= 30 THEN 'Rule engine score: ' ||
         cast(round(round(rule_score, 2)) AS BIGINT) || '/100' END,
-      array_to_string(list_transform(items[1:2], lambda m: 'Typosquatting: mimics ' ||
+      array_to_string(list_transform(items, lambda m: 'Typosquatting: mimics ' ||
         upper(m.brand) || ' (similarity ' || cast(round(m.similarity * 100) AS BIGINT) || '%, ' ||
         replace(m.technique, '_', ' ') || ')'), chr(10)),
       CASE WHEN is_punycode THEN 'Punycode/IDN domain detected' END,
@@ -775,24 +775,33 @@ def _(t):
         "url_id", F.concat_ws("\n", "evidence").alias("evidence"))
 
 
+def kept(t: Tables, rows: DataFrame, table: str, *more: DataFrame) -> DataFrame:
+    """Rows as a sink table holds them after appending, read back."""
+    path = shared_folder(t.spark, table)
+    for part in (rows, *more):
+        sinks.append(part, table, path)
+    return t.spark.read.parquet(path)
+
+
 @query("prediction_sink", """SELECT url_id, confidence AS prediction_score,
     prediction AS predicted_class, 'rules' AS model_name, 'latest' AS model_version FROM s_fused""")
 def _(t):
-    return sinks.prediction_rows(S.scan_batch(t.url_corpus), "rules")[1]
+    return kept(t, sinks.prediction_rows(S.scan_batch(t.url_corpus), "rules")[1], "model_predictions")
 
 
 @query("prediction_sink_urls", """SELECT raw_url AS full_url, CASE WHEN registered_domain <> ''
     THEN registered_domain ELSE hostname END AS domain, path, scheme AS protocol, tld,
     len(raw_url) AS url_length, 'real_time_prediction' AS source, url_id FROM s_fused""")
 def _(t):
-    return sinks.prediction_rows(S.scan_batch(t.url_corpus), "rules")[0].drop("is_malicious", "seq")
+    return kept(t, sinks.prediction_rows(S.scan_batch(t.url_corpus), "rules")[0], "urls").drop("is_malicious", "seq")
 
 
 @query("append_sinks", """SELECT attempt_id, CASE WHEN alert_type IN ('malicious_url',
     'suspicious_ip', 'high_traffic', 'dns_anomaly') THEN alert_type ELSE 'other' END AS alert_type,
     CASE WHEN severity = 'urgent' THEN 'low' ELSE severity END AS severity FROM alert_attempts""")
 def _(t):
-    return sinks.conform(t.alert_attempts, "alerts").select("attempt_id", "alert_type", "severity")
+    half = [t.alert_attempts.where(f"attempt_id % 2 = {i}") for i in (0, 1)]
+    return kept(t, half[0], "alerts", half[1]).select("attempt_id", "alert_type", "severity")
 
 
 @query("export_csv", """SELECT severity, status, NULL::BOOLEAN AS is_malicious, count(*) AS n
@@ -802,14 +811,17 @@ def _(t):
     a = t.alerts_v.groupBy("severity", "status").agg(F.count("*").alias("n"))
     u = t.urls_v.where("is_malicious IS NOT NULL").groupBy("is_malicious").agg(
         F.count("*").alias("n"))
-    return sinks.union_reports(a, u)
+    path = shared_folder(t.spark, "export_csv")
+    sinks.export_csv(path, a, u)
+    return t.spark.read.option("header", True).csv(path, schema="severity string, status string, n long, is_malicious boolean")
 
 
 @query("export_json", """SELECT cast(to_json(struct_pack(url := raw_url, prediction := prediction,
     verdict := verdict, rule_result := rule_result)) AS VARCHAR) AS line FROM s_fused""")
 def _(t):
-    return sinks.json_rows(S.scan_batch(t.url_corpus).select("url", "prediction", "verdict",
-                                                             "rule_result"))
+    path = shared_folder(t.spark, "export_json")
+    sinks.export_json(path, S.scan_batch(t.url_corpus).select("url", "prediction", "verdict", "rule_result"))
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 # --- destination policy -----------------------------------------------------------------------------
@@ -906,12 +918,19 @@ def _(t):
     return L.egress_policy(eg_urls(t), t.dns_v).select("url_id", "is_safe", "reason", "blocked_ip")
 
 
-@query("eg_redirect_chain", """SELECT url_id // 8 AS chain_id, count(*) AS hops,
-    bool_and(reason IS NULL) AS is_safe,
-    min(url_id % 8) FILTER (reason IS NOT NULL) AS blocked_hop,
-    arg_min(reason, url_id % 8) FILTER (reason IS NOT NULL) AS reason
-    FROM l_policy WHERE url_id % 8 <= 5 GROUP BY 1""")
+# every third run of eight URLs is a chain of eight hops, the others are two chains of four
+CTES["l_hops"] = """SELECT url_id, CASE WHEN url_id // 8 % 3 = 0 THEN url_id // 8 ELSE 1000000000 + url_id // 4 END
+    AS chain_id, CASE WHEN url_id // 8 % 3 = 0 THEN url_id % 8 ELSE url_id % 4 END AS hop FROM l_policy"""
+
+
+@query("eg_redirect_chain", """SELECT chain_id, count(*) AS hops,
+    bool_and(reason IS NULL) AND max(hop) <= 6 AS is_safe,
+    min(hop) FILTER (reason IS NOT NULL AND hop <= 6) AS blocked_hop,
+    coalesce(arg_min(reason, hop) FILTER (reason IS NOT NULL AND hop <= 6),
+      CASE WHEN max(hop) > 6 THEN 'too_many_redirects' END) AS reason
+    FROM l_policy JOIN l_hops USING (url_id) GROUP BY 1""")
 def _(t):
-    hops = eg_urls(t).selectExpr("url_id div 8 AS chain_id", "cast(url_id % 8 as int) AS hop",
-                                 "full_url")
+    hops = eg_urls(t).selectExpr(
+        "CASE WHEN url_id div 8 % 3 = 0 THEN url_id div 8 ELSE 1000000000 + url_id div 4 END AS chain_id",
+        "cast(CASE WHEN url_id div 8 % 3 = 0 THEN url_id % 8 ELSE url_id % 4 END as int) AS hop", "full_url")
     return L.redirect_chain(hops, t.dns_v)

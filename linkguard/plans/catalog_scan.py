@@ -299,22 +299,33 @@ SCAN_COLS = ["url_id", "url", "prediction", "confidence", "risk_level", "risk_sc
              "rule_result", "rule_score", "reasons", "registered_domain"]
 
 
-@query("scan_batch", """SELECT url_id, raw_url AS url, prediction, confidence, risk_level,
+# what users paste: every fifth page comes with an empty or missing URL too
+BLANK_URLS = """SELECT -1 - page_id AS url_id, CASE WHEN page_id % 2 = 0 THEN '' END AS full_url
+    FROM pages WHERE page_id % 5 = 0"""
+CTES["s_verdicts"] = f"""SELECT url_id, raw_url AS url, prediction, confidence, risk_level, risk_score, verdict,
+    rule_result, rule_score, reasons, registered_domain FROM s_fused UNION ALL
+    SELECT url_id, full_url, 'error', 0, 'UNKNOWN', NULL, 'UNKNOWN', NULL, NULL, NULL, NULL FROM ({BLANK_URLS})"""
+
+
+def pasted(t: Tables) -> DataFrame:
+    return t.url_corpus.select("url_id", "full_url").unionByName(t.sql(BLANK_URLS))
+
+
+@query("scan_batch", """SELECT url_id, url, prediction, confidence, risk_level,
     round(risk_score, 2) AS risk_score, verdict, rule_result, round(rule_score, 2) AS rule_score,
-    array_to_string(string_split(reasons, '|')[1:8], '|') AS reasons, registered_domain
-    FROM s_fused""")
+    reasons, registered_domain FROM s_verdicts""")
 def _(t):
-    return S.scan_batch(t.url_corpus).select(
-        *[F.concat_ws("|", c).alias(c) if c == "reasons" else c for c in SCAN_COLS])
+    return S.scan_batch(pasted(t)).select(
+        *[F.array_join(c, "|").alias(c) if c == "reasons" else c for c in SCAN_COLS])
 
 
 @query("scan_summary", """SELECT count(*) AS total,
     count(*) FILTER (prediction = 'malicious') AS malicious,
     count(*) FILTER (prediction = 'suspicious') AS suspicious,
     count(*) FILTER (prediction = 'benign') AS benign,
-    count(*) FILTER (prediction = 'error') AS errors FROM s_fused""")
+    count(*) FILTER (prediction = 'error') AS errors FROM s_verdicts""")
 def _(t):
-    return S.scan_summary(S.scan_batch(t.url_corpus))
+    return S.scan_summary(S.scan_batch(pasted(t)))
 
 
 @query("verdict_by_domain", """SELECT registered_domain, verdict, count(*) AS n

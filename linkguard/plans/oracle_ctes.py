@@ -243,7 +243,7 @@ def rule_ctes(p: str) -> dict[str, str]:
                          "'url_encoding:' || percent_encoding_count"),
                         ("percent_encoding_count > 2", 5, "NULL")),
         "typosquat": ("least(cast(trunc(least(coalesce(highest_risk, 0), 100) * 0.4) AS BIGINT), "
-                      "40)", "array_to_string(labels[1:2], '|')"),
+                      "40)", "array_to_string(labels, '|')"),
         "high_risk_tld": case(("tld_hit IS NOT NULL", 35, "'high_risk_tld:' || tld_hit")),
         "brand_mimic": case(("mimic IS NOT NULL", 30, "'brand_mimic:' || mimic")),
         "ip_host": case(("is_ip_host AND is_private_ip", 10, "'private_ip_host'"),

@@ -15,6 +15,13 @@ def scan_urls(urls: DataFrame) -> DataFrame:
                   "ELSE concat('http://', full_url) END AS full_url")
 
 
+def unusable(urls: DataFrame) -> DataFrame:
+    """The error rows of a scan: URLs that are NULL or empty."""
+    return urls.where("coalesce(full_url, '') = ''").selectExpr(
+        "url_id", "full_url AS url", "full_url AS raw_url", "'error' AS prediction", "0D AS confidence",
+        "'UNKNOWN' AS risk_level", "'UNKNOWN' AS verdict", "'Invalid URL' AS error")
+
+
 def risk_signals(ruled: DataFrame, ml: DataFrame | None = None, ip: DataFrame | None = None,
                  domains: DataFrame | None = None) -> DataFrame:
     """Attach the other signals to the rule scores.
@@ -45,7 +52,8 @@ def scan_batch(urls: DataFrame, ml=None, ip=None, domains=None, weights=None,
     ruled = R.rule_score(R.with_typosquat(norm, rollup))
     df = K.risk_fuse(risk_signals(ruled, ml, ip, domains), weights, thresholds)
     return add(df, url="raw_url", risk_score="round(risk_score, 2)",
-               rule_score="round(rule_score, 2)", reasons="slice(rule_reasons, 1, 8)")
+               rule_score="round(rule_score, 2)", reasons="rule_reasons").unionByName(
+        unusable(urls), allowMissingColumns=True)
 
 
 def scan_summary(verdicts: DataFrame) -> DataFrame:
@@ -65,7 +73,7 @@ def evidence_list(scanned: DataFrame) -> DataFrame:
         items.append(("ml_probability >= 0.5", "concat('ML probability: ', "
                       "format_string('%.1f', round(ml_probability * 100, 1)), '%')"))
     head = _lines(items)
-    squat = ("transform(slice(ts_matches, 1, 2), m -> concat('Typosquatting: mimics ', "
+    squat = ("transform(ts_matches, m -> concat('Typosquatting: mimics ', "
              "upper(m.brand), ' (similarity ', cast(round(m.similarity * 100) as bigint), '%, ', "
              "replace(m.technique, '_', ' '), ')'))")
     rest = [
@@ -93,7 +101,7 @@ def evidence_list(scanned: DataFrame) -> DataFrame:
     tail = _lines([(c, t) for c, t, need in rest if need is None or need in has])
     df = add(scanned, evidence=f"concat({head}, {squat}, {tail})")
     return add(df, evidence="CASE WHEN size(evidence) > 0 THEN evidence ELSE transform("
-                            "slice(rule_reasons, 1, 5), r -> concat('Rule triggered: ', r)) END")
+                            "rule_reasons, r -> concat('Rule triggered: ', r)) END")
 
 
 def _lines(items) -> str:

@@ -41,7 +41,8 @@ def scan_json(lines: DataFrame, limit: int | None = None) -> DataFrame:
 
 def scan_csv(lines: DataFrame, limit: int | None = None) -> DataFrame:
     """Quoted CSV with a header line first (lowest position); the URL is the second column."""
-    body = lines.where("NOT startswith(line, 'phish_id,')")
+    head = lines.agg(F.min("pos").alias("head"))
+    body = lines.join(F.broadcast(head), F.col("pos") > F.col("head")).drop("head")
     df = first_n(body, limit).select("pos", F.from_csv("line", "id string, url string, rest string")
                                      .alias("c"))
     return df.select("pos", F.trim("c.url").alias("full_url")).where(
@@ -83,15 +84,9 @@ def url_records(urls: DataFrame, source: str, label: bool | None) -> DataFrame:
         {"source": F.lit(source), "is_malicious": F.lit(label).cast("boolean")})
 
 
-def ip_blocklist(lines: DataFrame, per_source: int | None = 50) -> DataFrame:
-    """Distinct IPv4-shaped first tokens; comments and blanks dropped, ``/cidr`` removed.
-    ``per_source`` keeps the first lines of each list (a map-side limited rank)."""
-    df = lines
-    if per_source is not None:
-        from pyspark.sql import Window
-        w = Window.partitionBy("source").orderBy("pos")
-        df = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_source)
-    df = add(df, t="btrim(line, ' \\t\\n\\r')").where("t <> '' AND NOT startswith(t, '#')")
+def ip_blocklist(lines: DataFrame) -> DataFrame:
+    """Distinct IPv4-shaped first tokens; comments and blanks dropped, ``/cidr`` removed."""
+    df = add(lines, t="btrim(line, ' \\t\\n\\r')").where("t <> '' AND NOT startswith(t, '#')")
     df = add(df, ip="substring_index(CASE WHEN contains(t, ' ') THEN substring_index(t, ' ', 1) "
                     "ELSE t END, '/', 1)")
     return df.where("ip RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$'").select("ip").distinct()

@@ -28,10 +28,8 @@ def flow_urls(flows: DataFrame) -> DataFrame:
     """URL and domain by precedence HTTP host, TLS server name, DNS question; others are dropped."""
     df = add(
         flows, by_http="CASE WHEN http_host <> '' THEN http_host END",
-        by_sni="CASE WHEN contains(sni, '.') AND length(sni) BETWEEN 4 AND 99 "
-               "AND sni RLIKE '^[ -~]+$' THEN sni END",
-        by_dns="CASE WHEN contains(rtrim('.', qname), '.') AND length(rtrim('.', qname)) > 3 "
-               "THEN rtrim('.', qname) END")
+        by_sni="CASE WHEN contains(sni, '.') AND sni RLIKE '^[ -~]+$' THEN sni END",
+        by_dns="CASE WHEN contains(rtrim('.', qname), '.') THEN rtrim('.', qname) END")
     df = add(df, url="CASE WHEN by_http IS NOT NULL THEN concat('http://', by_http, "
                      "coalesce(nullif(http_path, ''), '/')) WHEN by_sni IS NOT NULL THEN "
                      "concat('https://', by_sni, '/') WHEN by_dns IS NOT NULL THEN "

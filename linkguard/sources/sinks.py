@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from linkguard import constants as C
 from linkguard.functions.sqlutil import add, in_list
 
-# --- fixed values: column widths and enumerations of the stored tables
+# --- fixed values: column widths (of stores that have them) and enumerations of the stored tables
 WIDTHS = {
     "urls": {"full_url": 2048, "domain": 255, "tld": 20, "protocol": 10, "source": 100},
     "ip_addresses": {"asn": 20, "isp": 255, "organization": 255, "country": 100, "city": 100,
@@ -23,15 +23,23 @@ ENUMS = {"alerts": {"alert_type": (C.ALERT_TYPES, "other"), "severity": (C.SEVER
 
 
 def conform(rows: DataFrame, table: str) -> DataFrame:
-    """Truncate to the column widths and coerce enumerations to their default."""
-    cols = {c: f"substr({c}, 1, {n})" for c, n in WIDTHS.get(table, {}).items()
-            if c in rows.columns}
+    """Coerce enumerations to their default. Text is stored whole: Parquet has no widths, and a
+    cut key would make two rows one."""
+    cols = {}
     for c, (values, default) in ENUMS.get(table, {}).items():
         if c in rows.columns:
             cols[c] = f"CASE WHEN {in_list(c, values)} THEN {c} ELSE '{default}' END"
     return add(rows, **cols) if cols else rows
 
 
+def too_wide(rows: DataFrame, table: str) -> DataFrame:
+    """Rows that a store with fixed column widths could not take, with the names of the columns."""
+    over = ", ".join(f"CASE WHEN length({c}) > {n} THEN '{c}' END"
+                     for c, n in WIDTHS.get(table, {}).items() if c in rows.columns)
+    return add(rows, wide_columns=f"filter(array({over or 'cast(NULL as string)'}), c -> c IS NOT NULL)").where(
+        "size(wide_columns) > 0")
+
+
 def append(rows: DataFrame, table: str, path: str, ts: str | None = "ts") -> None:
     """Append to a Parquet table, partitioned by day when it has a time column."""
     df = conform(rows, table)
@@ -51,7 +59,7 @@ def export_csv(path: str, *frames: DataFrame) -> None:
 
 
 def export_json(path: str, *frames: DataFrame) -> None:
-    union_reports(*frames).write.mode("overwrite").json(path)
+    union_reports(*frames).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

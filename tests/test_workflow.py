@@ -65,6 +65,49 @@ def test_status_fold_equals_brute_force(spark):
         assert {r.cmd_id: (r.success, r.old_status) for r in got} == want
 
 
+def test_traffic_features_of_a_hot_address(spark):
+    """All flows count, over slices, ties and more than 5,000 rows of one address."""
+    rnd = random.Random(2)
+    rows = [(i, T0 + dt.timedelta(seconds=rnd.choice([0, 1, 4000, 90000]) + rnd.randrange(40000)), "9.9.9.9",
+             f"3.3.{rnd.randrange(30)}.{rnd.randrange(200)}", rnd.choice(["HTTP", "HTTPS", "DNS"]), rnd.randrange(3) * 100,
+             rnd.randrange(40)) for i in range(6000)] + [(9000, T0, "1.1.1.1", "1.1.1.1", "TCP", 0, 0)]
+    df = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, src_ip string, dst_ip string, protocol string, "
+                                     "payload_size int, dst_port int")
+    got = {r.ip_address: r for r in G.traffic_features(G.flow_ends(df), str(T0 + dt.timedelta(days=2)), 60 * 48).collect()}
+    hot, mine = got["9.9.9.9"], [r for r in rows if r[2] == "9.9.9.9"]
+    times = sorted(r[1] for r in mine)
+    gaps = [(b - a).total_seconds() for a, b in zip(times, times[1:])]
+    mean = sum(gaps) / len(gaps)
+    std = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** .5
+    paid = [r[5] for r in mine if r[5]]
+    assert hot.request_frequency == round(6000 / (60 * 48), 2) and hot.protocol_diversity == 3
+    assert hot.unique_destinations == len({r[3] for r in mine})
+    assert abs(hot.traffic_burstiness - std / mean) < 1e-4 and abs(hot.avg_payload_size - sum(paid) / len(paid)) < .01
+    assert hot.port_scan_likelihood == round(len({r[6] for r in mine if r[6]}) / 50, 4)
+    assert got["1.1.1.1"].traffic_burstiness == 0 and got["1.1.1.1"].avg_payload_size == 0
+
+
+def test_redirect_chains(spark):
+    from linkguard.operators import egress
+    ok, bad = "http://8.8.8.8/", "http://169.254.169.254/latest"
+    chains = {1: [ok] * 3, 2: [ok] * 6 + [bad, "http://127.0.0.1/"], 3: [ok] * 8, 4: [ok] * 7 + [bad], 5: [ok] * 7, 6: [bad], 7: [ok, bad, bad]}
+    rows = [(c, i, u) for c, urls in chains.items() for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "chain_id int, hop int, full_url string")
+    got = {r.chain_id: (r.hops, r.blocked_hop, r.is_safe, r.reason) for r in egress.redirect_chain(df, None).collect()}
+    meta = "cloud_metadata_endpoint"
+    assert got == {1: (3, None, True, None), 2: (8, 6, False, meta), 3: (8, None, False, "too_many_redirects"),
+                   4: (8, None, False, "too_many_redirects"), 5: (7, None, True, None), 6: (1, 0, False, meta), 7: (3, 1, False, meta)}
+
+
+def test_scan_keeps_blank_urls(spark):
+    from linkguard.plans import scan
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "http://docs.python.org/3/")], "url_id int, full_url string")
+    got = scan.scan_batch(df)
+    assert {r.url_id: (r.prediction, r.confidence, r.risk_level) for r in got.where("url_id < 3").collect()} == {
+        1: ("error", 0, "UNKNOWN"), 2: ("error", 0, "UNKNOWN")}
+    assert scan.scan_summary(got).first().asDict() == {"total": 3, "malicious": 0, "suspicious": 0, "benign": 1, "errors": 2}
+
+
 def test_latest_rows_per_address(spark):
     rnd = random.Random(1)
     rows = [(i, T0 + dt.timedelta(seconds=rnd.randrange(10 ** 6)),
@@ -113,7 +156,8 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.append(df, "alerts", path)
     rows = spark.read.parquet(path).collect()
     assert len(rows) == 2 and rows[0].alert_type == "other" and rows[0].severity == "low"
-    assert len(rows[0].description) == 65000 and str(rows[0].day) == "2024-01-01"
+    assert len(rows[0].description) == 70000 and str(rows[0].day) == "2024-01-01"
+    assert [r.wide_columns for r in sinks.too_wide(df, "alerts").collect()] == [["description"]]
     sinks.export_csv(str(tmp_path / "csv"), df.select("alert_id"), df.select("severity"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
