@@ -1,87 +1,59 @@
 """Structured Streaming operators over flow and alert streams, on event time with a watermark.
 
-Functions take and return DataFrames; the stateless and windowed ones also run on batch input.
+Functions take and return DataFrames; the stateless and windowed ones also run on batch input. A
+stream that keeps a table writes what each micro-batch adds, below the number of the batch, and the
+table is folded when it is read. A repeated batch overwrites its own rows, nothing else is
+rewritten, and all state lies in the given folder: started again on it, a stream goes on where it
+stopped. The folder must be shared by the driver and all executors.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from linkguard import constants as C
-from linkguard.operators import rules as R, upserts as B
-from linkguard.operators.alerts import coerce_alert
+from linkguard.operators import alerts as A, rules as R, upserts as B
 from linkguard.sources.flows import flow_normalize, flow_urls
 
 
 # --- plumbing ----------------------------------------------------------------------------------
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster; only where none is set
-    (tests on one machine) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="linkguard-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def file_stream(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """Stream of Parquet files with a fixed schema; NTZ times become event times."""
-    schema = spark.read.parquet(f"{folder}/{file}").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", file).option(
-        "maxFilesPerTrigger", 100).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1) -> DataFrame:
+    """Stream of the Parquet files of a folder, oldest first; NTZ times become event times."""
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def drain(stream: DataFrame, path: str) -> DataFrame:
     """Run an append-mode stream over all available input into a Parquet table and read it."""
-    spark = stream.sparkSession
-    path = shared_folder(spark, name)
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
          .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-class VersionedTable:
-    """A table kept by micro-batches: batch n reads the version before it and writes version n, so
-    a repeated batch writes the same version again."""
+def deltas(stream: DataFrame, path: str, schema, reduce: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Write ``reduce(batch, earlier deltas)`` of each micro-batch; returns all deltas with their ``batch_id``."""
+    spark, folder = stream.sparkSession, f"{path}/deltas"
+    names = spark.createDataFrame([], schema).columns
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.versions: list[int] = []
+    def before(batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("long"))
+        return table().where(F.col("batch_id") < batch_id)
 
-    def latest(self, before: int | None = None) -> DataFrame:
-        old = [v for v in self.versions if before is None or v < before]
-        if not old:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={max(old)}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        if version not in self.versions:
-            self.versions.append(version)
-
-
-def fold(stream: DataFrame, name: str, schema, merge, mode: str = "append",
-         start: DataFrame | None = None) -> DataFrame:
-    """``merge(current_table, batch) -> table`` for every micro-batch; returns the last version."""
-    spark = stream.sparkSession
-    path = shared_folder(spark, name)
-    table = VersionedTable(spark, f"{path}/table", schema)
-    if start is not None:
-        table.write(start, -1)
+    def table() -> DataFrame:
+        return spark.read.schema(spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("long")).schema) \
+            .parquet(folder)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge(table.latest(before=batch_id), batch), batch_id)
+        reduce(batch, before(batch_id)).select(*names).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(each).outputMode(mode)
+    q = (stream.writeStream.foreachBatch(each).outputMode("append")
          .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return table.latest()
+    return table()
 
 
 # --- operators ---------------------------------------------------------------------------------
@@ -95,55 +67,56 @@ def rate_window(flows: DataFrame, threshold: int = 50, window: str = "60 seconds
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "src_ip", "n")
 
 
-def first_seen_domain(urls: DataFrame, bounded: str | None = None) -> DataFrame:
-    """The first event of each domain. The default remembers every domain; ``bounded`` (a delay)
-    forgets a domain once the watermark has passed it."""
-    if bounded:
-        return urls.withWatermark("ts", bounded).dropDuplicatesWithinWatermark(["domain"])
-    return urls.dropDuplicates(["domain"])
+def first_seen_domain(urls: DataFrame, path: str) -> DataFrame:
+    """The first event of each domain: the earliest of the micro-batch that brings it first. What
+    has been seen is the table of first events itself, so no state grows in memory."""
+    schema = "domain string, ts timestamp, event_id long"
+
+    def fresh(batch, seen):
+        first = batch.groupBy("domain").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+        return first.join(seen, "domain", "left_anti").select("domain", "f.ts", "f.event_id")
+    return deltas(urls, path, schema, fresh).drop("batch_id")
 
 
-def alert_throttle(alerts: DataFrame, seconds: int = 60, ttl_seconds: int = 300,
-                   watermark: str = "10 minutes") -> DataFrame:
+def first_seen_bounded(urls: DataFrame, delay: str) -> DataFrame:
+    """The first event of each domain, which is forgotten once the watermark has passed it."""
+    return urls.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["domain"])
+
+
+def alert_throttle(alerts: DataFrame, path: str, id_col: str, seconds: int = 60, ttl_seconds: int = 300) -> DataFrame:
     """Per (source_ip, alert_type): pass an alert when ``seconds`` have gone by since the last one
-    that passed. State is that one time, dropped ``ttl_seconds`` after it."""
-    gap = seconds * 1_000_000
-    schema = alerts.schema
-    names = [f.name for f in schema.fields]
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", names[0]])
-        last = state.get[0] if state.exists else None
-        us = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        keep = []
-        for i, t in enumerate(us):
-            if last is None or t - last >= gap:
-                keep.append(i)
-                last = int(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000,
-                                      state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[keep][names]
-
-    return alerts.withWatermark("ts", watermark).groupBy("source_ip", "alert_type").applyInPandasWithState(
-        step, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def ip_profile(flows: DataFrame) -> DataFrame:
-    """Running per-source totals (update mode). Distinct sets are counted with sketches, which
-    merge and stay small."""
-    return flow_normalize(flows).groupBy("src_ip").agg(
-        F.count("*").alias("request_count"), F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"), F.approx_count_distinct("dst_ip").alias("destinations"),
-        F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"),
-        F.sum("size").alias("total_bytes"))
-
-
-def url_counts(urls: DataFrame) -> DataFrame:
-    return urls.groupBy("url").agg(F.count("*").alias("n"))
+    that passed. Alerts too close to a key's last passed one are dropped first; the rest goes
+    through the batch fold, which spreads a hot key over its time chunks. Only passed alerts of
+    the last ``ttl_seconds`` before the batch are looked at."""
+    keys = ["source_ip", "alert_type"]
+
+    def passed(batch, earlier):
+        since = batch.agg((F.min("ts") - F.expr(f"INTERVAL {max(ttl_seconds, seconds)} SECOND")).alias("since"))
+        last = earlier.join(F.broadcast(since), F.col("ts") >= F.col("since")).groupBy(*keys).agg(F.max("ts").alias("last"))
+        free = batch.join(last, keys, "left").where(
+            F.col("last").isNull() | (F.col("ts") >= F.col("last") + F.expr(f"INTERVAL {seconds} SECOND"))).drop("last")
+        return A.alert_throttle(free, seconds, id_col).where("emitted").drop("emitted")
+    return deltas(alerts, path, alerts.schema, passed).drop("batch_id")
+
+
+def ip_profile(flows: DataFrame, path: str) -> DataFrame:
+    """Running per-source totals, with exact distinct counts: batches leave sums per source,
+    destination and protocol, which are summed again when the profile is read."""
+    schema = "src_ip string, dst_ip string, protocol string, n long, first_seen timestamp, last_seen timestamp, bytes long"
+
+    def sums(batch, _):
+        return flow_normalize(batch).groupBy("src_ip", "dst_ip", "protocol").agg(
+            F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum("size").alias("bytes"))
+    return deltas(flows, path, schema, sums).groupBy("src_ip").agg(
+        F.sum("n").alias("request_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.countDistinct("dst_ip").alias("destinations"),
+        F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"), F.sum("bytes").alias("total_bytes"))
+
+
+def url_counts(urls: DataFrame, path: str) -> DataFrame:
+    def counts(batch, _):
+        return batch.groupBy("url").agg(F.count("*").alias("n"))
+    return deltas(urls, path, "url string, n long", counts).groupBy("url").agg(F.sum("n").alias("n"))
 
 
 def threat_alerts(flows: DataFrame) -> DataFrame:
@@ -155,17 +128,16 @@ def threat_alerts(flows: DataFrame) -> DataFrame:
                      .alias("description"))
 
 
-def threat_alert_stream(flows: DataFrame) -> DataFrame:
+def threat_alert_stream(flows: DataFrame, path: str) -> DataFrame:
     """Threat alerts throttled per source, then coerced to the stored types."""
-    return coerce_alert(alert_throttle(threat_alerts(flows)))
+    return A.coerce_alert(alert_throttle(threat_alerts(flows), path, "event_id"))
 
 
-def recent_merge(n: int, columns: list[str]):
-    """Merge step that keeps the newest ``n`` rows."""
-    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        return current.unionByName(batch.select(*columns)).orderBy(
-            F.desc("ts"), F.desc("event_id")).limit(n)
-    return merge
+def recent_rows(stream: DataFrame, path: str, n: int) -> DataFrame:
+    """The newest ``n`` rows: each batch keeps its newest, and so does the reader."""
+    def newest(df, _=None):
+        return df.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+    return newest(deltas(stream, path, stream.schema, newest)).drop("batch_id")
 
 
 def url_rows(urls: DataFrame) -> DataFrame:
@@ -173,24 +145,27 @@ def url_rows(urls: DataFrame) -> DataFrame:
     return urls.selectExpr(
         "event_id AS url_id", "url AS full_url", "domain", "'/' AS path",
         "CASE WHEN contains(url, 'https') THEN 'https' ELSE 'http' END AS protocol",
-        "CASE WHEN contains(domain, '.') THEN left(substring_index(domain, '.', -1), 20) ELSE '' "
+        "CASE WHEN contains(domain, '.') THEN substring_index(domain, '.', -1) ELSE '' "
         "END AS tld", "length(url) AS url_length", "'live_traffic' AS source",
         "cast(NULL AS boolean) AS is_malicious", "event_id AS seq")
 
 
-def url_merge(as_of: str):
-    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        return B.url_upsert(current, batch, as_of)
-    return merge
+def url_sink(urls: DataFrame, path: str, stored: DataFrame, as_of: str) -> DataFrame:
+    """The URL table after upserting captured URLs; batches keep one row per URL."""
+    rows = url_rows(urls)
+    rest = [c for c in rows.columns if c != "full_url"]
+
+    def last(batch, _):
+        return batch.groupBy("full_url").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("full_url", "r.*")
+    return B.url_upsert(stored, deltas(rows, path, rows.schema, last).drop("batch_id"), as_of)
 
 
-def ip_merge(as_of: str):
-    """One touch per source and micro-batch, as a capture flush does."""
-    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        touched = batch.groupBy(F.col("src_ip").alias("ip_address")).agg(
-            F.min("event_id").alias("seq")).withColumn("ip_version", F.lit("IPv4"))
-        return B.ip_upsert(current, touched, as_of)
-    return merge
+def ip_touch(flows: DataFrame, path: str, stored: DataFrame, as_of: str) -> DataFrame:
+    """The address table after one touch per source and micro-batch, as a capture flush does."""
+    def touched(batch, _):
+        return batch.groupBy(F.col("src_ip").alias("ip_address")).agg(F.min("event_id").alias("seq"))
+    rows = deltas(flows, path, "ip_address string, seq long", touched).drop("batch_id")
+    return B.ip_upsert(stored, rows.withColumn("ip_version", F.lit("IPv4")), as_of)
 
 
 def suspicious_ports(flows: DataFrame, window: str = "10 minutes",

@@ -3,11 +3,14 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from linkguard import constants as C
 from linkguard.operators import alerts as A, ml as M, traffic as G, upserts as B
 from linkguard.sources import feeds, sinks
+from linkguard.shared import shared_folder
 from linkguard.streaming import streams as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -94,7 +97,7 @@ def test_redirect_chains(spark):
     rows = [(c, i, u) for c, urls in chains.items() for i, u in enumerate(urls)]
     df = spark.createDataFrame(rows, "chain_id int, hop int, full_url string")
     got = {r.chain_id: (r.hops, r.blocked_hop, r.is_safe, r.reason) for r in egress.redirect_chain(df, None).collect()}
-    meta = "cloud_metadata_endpoint"
+    meta = "encoded_ip:cloud_metadata_endpoint"
     assert got == {1: (3, None, True, None), 2: (8, 6, False, meta), 3: (8, None, False, "too_many_redirects"),
                    4: (8, None, False, "too_many_redirects"), 5: (7, None, True, None), 6: (1, 0, False, meta), 7: (3, 1, False, meta)}
 
@@ -181,25 +184,43 @@ def test_model_store_and_scores(spark, tmp_path):
     assert M.leakage_report(split).first().shared_groups == 0
 
 
-def test_stream_throttle_equals_batch(spark, tmp_path):
-    rows = attempts(600)
+def test_stream_throttle_resumes_over_many_batches(spark, tmp_path):
+    """Five micro-batches, stopped after the third and started again on the same folder."""
+    rows = sorted(attempts(600), key=lambda r: r[3])
     df = spark.createDataFrame(rows, ATTEMPT)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn(
-        "ts", F.col("ts").cast("timestamp"))
-    got = S.drain(S.alert_throttle(stream), "throttle")
-    assert {r.attempt_id for r in got.collect()} == brute_throttle(rows)
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def feed(parts):
+        for i in parts:
+            spark.createDataFrame(rows[i * 120:(i + 1) * 120], ATTEMPT).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        return S.alert_throttle(S.file_stream(spark, source, df.schema), path, "attempt_id")
+    feed(range(3))
+    assert {r.attempt_id for r in run().collect()} == brute_throttle(rows[:360])
+    feed(range(3, 5))
+    assert {r.attempt_id for r in run().collect()} == brute_throttle(rows)
+    assert {r.attempt_id for r in run().collect()} == brute_throttle(rows)  # nothing new
 
 
 def test_shared_folder_follows_the_session(tmp_path):
     class Conf:
+        def __init__(self, base):
+            self.base = base
+
         def get(self, key, default=None):
-            return str(tmp_path) if key == "spark.checkpoint.dir" else default
+            return self.base if key == "spark.checkpoint.dir" and self.base else default
 
     class Session:
-        conf = Conf()
+        class sparkContext:
+            master = "spark://cluster"
+
+        def __init__(self, base):
+            self.conf = Conf(base)
 
-    assert S.shared_folder(Session(), "x").startswith(str(tmp_path))
+    assert shared_folder(Session(str(tmp_path)), "x").startswith(str(tmp_path))
+    with pytest.raises(ValueError):
+        shared_folder(Session(None))
 
 
 def test_filters_on_scan_columns_keep_plans_small(spark):
