@@ -158,7 +158,11 @@ def trainers(n_features: int, trees: int = 200, boost_rounds: int = 200, epochs:
     return {
         "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=15, minInstancesPerNode=4,
                                                 weightCol="weight", seed=42),
-        "gradient_boosting": GBTClassifier(maxIter=boost_rounds, maxDepth=8, stepSize=0.1,
+        # three boosting trainers: depth 8 on plain rows, depth 10 and 15 on balanced ones
+        "gradient_boosting": GBTClassifier(maxIter=boost_rounds, maxDepth=8, stepSize=0.1, seed=42),
+        "boosting_depth_10": GBTClassifier(maxIter=boost_rounds, maxDepth=10, stepSize=0.1,
+                                           weightCol="weight", seed=42),
+        "boosting_depth_15": GBTClassifier(maxIter=boost_rounds, maxDepth=15, stepSize=0.1,
                                            weightCol="weight", seed=42),
         "logistic_regression": LogisticRegression(maxIter=1000, weightCol="weight"),
         "neural_network": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 32, 2],
@@ -326,6 +330,16 @@ def linear_impacts(coefs: dict[str, float], means: dict[str, float] | None = Non
             for f, c in coefs.items()}
 
 
+def fitted_impacts(model: PipelineModel, cols: list[str]) -> tuple[float, dict]:
+    """Log odds at the mean of the training side, and each feature's share of a row's distance from
+    it, from a fitted logistic regression on standardised features."""
+    last, scale = model.stages[-1], model.stages[-2]
+    weights = zip(cols, last.coefficients.toArray(), scale.mean.toArray(), scale.std.toArray())
+    parts = {c: (float(w / d) if d > 0 else 0.0, float(m)) for c, w, m, d in weights}
+    return float(last.intercept), linear_impacts({c: w for c, (w, _) in parts.items()},
+                                                 {c: m for c, (_, m) in parts.items()})
+
+
 def fallback_impacts(names: list[str]) -> dict:
     """Without a usable model a feature's own value stands for its impact."""
     return {f: f"cast({f} as double)" for f in names}
@@ -340,15 +354,16 @@ def explain_global(features: DataFrame, impacts: dict[str, str], k: int = 10) ->
     return long.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def narrative(explained: DataFrame) -> DataFrame:
-    """Text from ``prediction``, ``confidence`` and ``top_features``."""
+def narrative(explained: DataFrame, n_risk: int = 4, n_safe: int = 3) -> DataFrame:
+    """Text from ``prediction``, ``confidence`` and ``top_features``, with the first ``n_risk`` or
+    ``n_safe`` of them."""
     pct = "concat(cast(round(confidence * 100) as bigint), '%')"
 
     def lines(direction, n, sign):
         return (f"transform(slice(filter(top_features, f -> f.direction = '{direction}'), 1, {n}), "
                 f"(f, i) -> concat(i + 1, '. **', f.description, '** — ', f.reason, ' ({sign}', "
                 "format_string('%.1f', round(abs(f.impact) * 100, 1)), '%)'))")
-    risk, safe = lines("increases_risk", 4, "+"), lines("decreases_risk", 3, "-")
+    risk, safe = lines("increases_risk", n_risk, "+"), lines("decreases_risk", n_safe, "-")
     return add(explained, narrative=f"""CASE
         WHEN size(top_features) = 0 THEN
           concat('Prediction: ', upper(prediction), ' with ', {pct}, ' confidence.')

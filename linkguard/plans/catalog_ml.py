@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from linkguard.functions.sqlutil import items
 from linkguard.operators import ml as M, normalize as N, url_features as U
 from linkguard.plans import scan as S
-from linkguard.plans.oracle_ctes import CTES
+from linkguard.plans.oracle_ctes import CTES, fuse_ctes, half_up
 from linkguard.plans.registry import query
 from linkguard.plans.views import Tables
 from linkguard.shared import shared_folder
@@ -68,7 +68,12 @@ def _(t):
 
 
 _STATS = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, label FROM p_rows" for c in FEATS)
+    f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, label FROM p_split WHERE NOT is_test" for c in FEATS)
+
+
+def training_side(t: Tables) -> DataFrame:
+    return M.group_split(labelled(t)).where("NOT is_test")
+
 
 
 @query("ml_select_anova", f"""SELECT feature, CASE WHEN within > 1e-9 THEN
@@ -79,7 +84,7 @@ _STATS = " UNION ALL ".join(
             any_value(g) AS g FROM (SELECT *, avg(x) OVER (PARTITION BY feature) AS g
               FROM ({_STATS})) GROUP BY 1, 2) GROUP BY 1)""")
 def _(t):
-    df = M.anova_f(labelled(t), FEATS)
+    df = M.anova_f(training_side(t), FEATS)
     return df.select("feature", F.round("f_value", 4).alias("f_value"))
 
 
@@ -92,106 +97,168 @@ def _(t):
       FROM (SELECT *, min(x) OVER (PARTITION BY feature) AS lo, max(x) OVER (PARTITION BY feature)
               AS hi FROM ({_STATS})) GROUP BY ALL)) GROUP BY 1""")
 def _(t):
-    return M.mutual_information(labelled(t), FEATS).select(
+    return M.mutual_information(training_side(t), FEATS).select(
         "feature", F.round("mutual_info", 6).alias("mutual_info"))
 
 
-# --- training on the URL features; small sizes, the defaults are the full ones --------------------
-SMALL = {"trees": 10, "boost_rounds": 5, "epochs": 15}
-PICKED = ["url_length", "domain_length", "digit_ratio", "entropy", "hostname_entropy", "path_length",
-          "is_https", "suspicious_tld", "suspicious_keywords_count", "subdomain_count", "url_depth",
-          "percent_encoding_count"]
+# --- training on all URL features -----------------------------------------------------------------
+# What a fitted model says has no SQL counterpart. The queries report facts about it that have one: rows scored, whether the
+# confusion matrix accounts for all of them, whether metrics agree with those computed from the scores anew, whether scores
+# are probabilities, and whether the model is better than a floor.
+#: Boosting is sequential; the check runs fewer rounds than the default, everything else as it is.
+SIZES = {"boost_rounds": 15}
+FLOOR = 0.9
 
 
 def sides(t: Tables):
-    df = M.clean(M.group_split(labelled(t)), PICKED).select("url_id", "label", "is_test", *PICKED)
-    df = df.persist()
+    """Training and test side, written once."""
+    path = shared_folder(t.spark, "sides")
+    M.clean(M.group_split(labelled(t)), FEATS).select("url_id", "label", "is_test", *FEATS).write.parquet(path)
+    df = t.spark.read.parquet(path)
     return df.where("NOT is_test"), df.where("is_test")
 
 
-@query("ml_scale")
+@query("ml_scale", " UNION ALL ".join(f"""SELECT '{c}' AS feature, round(avg({c}), 6) AS mean,
+    round(stddev_samp({c}), 6) AS std FROM p_split WHERE NOT is_test""" for c in FEATS))
+def _(t):
+    tr, _ = sides(t)
+    fitted = M.scaler(FEATS).fit(tr).stages[-1]
+    rows = list(zip(FEATS, fitted.mean.toArray().tolist(), fitted.std.toArray().tolist()))
+    return t.spark.createDataFrame(rows, "feature string, mean double, std double").select(
+        "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("ml_scale_rows", "SELECT url_id, " + ", ".join(
+    f"round(CASE WHEN s_{c} > 0 THEN (p.{c} - m_{c}) / s_{c} ELSE 0 END, 4)::DOUBLE AS {c}" for c in FEATS[:8])
+    + " FROM p_split p, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in FEATS[:8])
+    + " FROM p_split WHERE NOT is_test) WHERE is_test")
 def _(t):
-    tr, te = sides(t)
-    out = M.scaler(PICKED).fit(tr).transform(te)
     from pyspark.ml.functions import vector_to_array
-    return out.select("url_id", F.concat_ws(",", F.transform(vector_to_array("features"),
-                                                              lambda x: F.round(x, 4)))
-                      .alias("features"))
+    tr, te = sides(t)
+    out = M.scaler(FEATS).fit(tr).transform(te).select("url_id", vector_to_array("features").alias("f"))
+    return out.select("url_id", *[F.round(F.col("f")[i], 4).alias(c) for i, c in enumerate(FEATS[:8])])
 
 
-def names_frame(t: Tables, names: list[str]) -> DataFrame:
-    return t.spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+def picked(t: Tables, names: list[str], most: int) -> DataFrame:
+    """How a selection looks: known features, each once, no more than asked for, some of them useful."""
+    return t.spark.createDataFrame([(set(names) <= set(FEATS), len(set(names)) == len(names), 0 < len(names) <= most)],
+                                   "known boolean, distinct_names boolean, right_size boolean")
 
 
-@query("ml_select_rf_importance")
+@query("ml_select_rf_importance", "SELECT true AS known, true AS distinct_names, true AS right_size")
 def _(t):
-    tr, _ = sides(t)
-    return names_frame(t, M.select_rf(tr, PICKED, trees=10))
+    return picked(t, M.select_rf(sides(t)[0], FEATS, trees=50), len(FEATS) - 1)
 
 
-@query("ml_select_rfe")
+@query("ml_select_rfe", "SELECT true AS known, true AS distinct_names, true AS right_size")
 def _(t):
-    tr, _ = sides(t)
-    return names_frame(t, M.select_rfe(tr, PICKED, n=6, step=3, trees=5))
+    names = M.select_rfe(sides(t)[0], FEATS, n=30, step=11, trees=20)
+    return picked(t, names if len(names) == 30 else [], 30)
+
+
+def facts(scores: DataFrame) -> DataFrame:
+    """Per model: what must hold of its scores and metrics."""
+    hit = (F.col("probability") > 0.5).cast("int")
+    plain = scores.groupBy("model_name").agg(
+        F.count("*").alias("rows"), F.sum("label").alias("positives"),
+        F.avg((hit == F.col("label")).cast("double")).alias("again"),
+        F.every(F.col("probability").between(0, 1)).alias("in_range"))
+    return M.evaluate(scores).join(plain, "model_name").selectExpr(
+        "model_name", "rows", "positives", "in_range", "tn + fp + fn + tp = rows AND tp + fn = positives AS complete",
+        f"abs(again - accuracy) < 1e-9 AS agrees", f"roc_auc >= {FLOOR} AS good")
 
 
-def metrics_of(t: Tables, *names: str) -> DataFrame:
+def facts_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"""SELECT '{n}' AS model_name, count(*) AS rows, cast(sum(label) AS BIGINT) AS positives,
+    true AS in_range, true AS complete, true AS agrees, true AS good FROM p_split WHERE is_test""" for n in names)
+
+
+def scored(t: Tables, *names: str) -> DataFrame:
+    """Scores of the test side by each model, written once so that nothing runs a model again."""
     tr, te = sides(t)
-    preds = [M.probability(M.train(n, tr, PICKED, **SMALL), te).withColumn("model_name", F.lit(n))
-             for n in names]
-    all_rows = preds[0]
-    for p in preds[1:]:
-        all_rows = all_rows.unionByName(p)
-    return M.evaluate(all_rows)
+    path = shared_folder(t.spark, "scores")
+    for n in names:
+        M.probability(M.train(n, tr, FEATS, **SIZES), te).withColumn("model_name", F.lit(n)).write.mode("append").parquet(path)
+    return t.spark.read.parquet(path)
 
 
 for _key, _model in [("ml_train_rf", "random_forest"), ("ml_train_gbt", "gradient_boosting"),
                      ("ml_train_logreg", "logistic_regression"),
                      ("ml_train_mlp", "neural_network")]:
-    @query(_key)
+    @query(_key, facts_sql(_model))
     def _(t, _model=_model):
-        return metrics_of(t, _model)
+        return facts(scored(t, _model))
+
 
+VOTERS = ("random_forest", "gradient_boosting", "logistic_regression")
 
-@query("ml_vote")
+
+@query("ml_vote", facts_sql("vote"))
 def _(t):
+    """The network does not vote."""
     tr, te = sides(t)
-    models = {n: M.train(n, tr, PICKED, **SMALL) for n in ("random_forest", "logistic_regression")}
-    return M.evaluate(M.vote(models, te).withColumn("model_name", F.lit("vote")))
+    models = {n: M.train(n, tr, FEATS, **SIZES) for n in VOTERS}
+    path = shared_folder(t.spark, "votes")
+    M.vote(models, te).withColumn("model_name", F.lit("vote")).write.parquet(path)
+    return facts(t.spark.read.parquet(path))
 
 
-@query("ml_compare")
+@query("ml_compare", "SELECT 4 AS models, 1 AS best, true AS in_order, 10 AS place_sum")
 def _(t):
-    return M.compare(metrics_of(t, "random_forest", "logistic_regression"))
+    got = M.compare(M.evaluate(scored(t, *VOTERS, "neural_network")))
+    top = got.agg(F.count("*").alias("models"), F.count_if("is_best").alias("best"),
+                  F.max(F.when(F.col("is_best"), F.col("f1_score"))).alias("b"), F.max("f1_score").alias("m"),
+                  F.sum("place").alias("place_sum"))
+    return top.selectExpr("models", "best", "b = m AS in_order", "place_sum")
 
 
-@query("ml_predict")
+@query("ml_predict", """SELECT url_id, true AS right_class, true AS right_confidence FROM p_split WHERE is_test""")
 def _(t):
-    tr, te = sides(t)
-    return M.classify(M.probability(M.train("random_forest", tr, PICKED, **SMALL), te)).select(
-        "url_id", "predicted_class", F.round("confidence", 6).alias("confidence"))
+    return M.classify(scored(t, "random_forest")).selectExpr(
+        "url_id", "predicted_class = CASE WHEN probability > 0.7 THEN 'malicious' WHEN probability < 0.3 THEN 'benign' "
+                  "ELSE 'suspicious' END AS right_class",
+        "confidence BETWEEN 0.3 AND 1 AND (predicted_class <> 'benign' OR confidence > 0.7) AS right_confidence")
 
 
-@query("ml_model_store")
+@query("ml_model_store", """SELECT '2' AS version, count(*) AS rows, 0.0::DOUBLE AS difference FROM p_split WHERE is_test""")
 def _(t):
     tr, te = sides(t)
     path = shared_folder(t.spark, "models")
+    model = M.train("logistic_regression", tr, FEATS)
     for version in ("1", "2"):
-        M.save_model(t.spark, M.train("random_forest", tr, PICKED, **SMALL), "random_forest", path,
-                     version, PICKED, FEATS)
-    model, meta = M.latest_model(t.spark, path)
-    return M.probability(model, te).withColumn("version", F.lit(meta["version"]))
+        M.save_model(t.spark, model, "logistic_regression", path, version, FEATS, FEATS)
+    again, meta = M.latest_model(t.spark, path)
+    both = M.probability(model, te, ("url_id",)).join(
+        M.probability(again, te, ("url_id",)).withColumnRenamed("probability", "stored"), "url_id")
+    return both.agg(F.lit(meta["version"]).alias("version"), F.count("*").alias("rows"),
+                    F.max(F.abs(F.col("probability") - F.col("stored"))).alias("difference"))
 
 
-@query("scan_batch_ml")
+@query("ml_explain_model", """SELECT url_id, true AS adds_up, 5 AS places FROM p_split WHERE is_test""")
 def _(t):
-    tr, _ = sides(t)
-    model = M.train("random_forest", tr, PICKED, **SMALL)
-    scans = S.scan_urls(t.url_corpus)
-    feats = M.clean(U.url_features(N.url_normalize(scans)), PICKED)
-    ml = M.probability(model, feats, keep=("url_id",)).withColumnRenamed("probability",
-                                                                          "ml_probability")
-    return S.scan_batch(t.url_corpus, ml=ml).select("url_id", "prediction", "verdict", "risk_score")
+    """Impacts of a fitted linear model: with its base they must add up to the model's own log odds."""
+    tr, te = sides(t)
+    model = M.train("logistic_regression", tr, FEATS)
+    base, impacts = M.fitted_impacts(model, FEATS)
+    own = M.explain(M.probability(model, te, ("url_id", *FEATS)), impacts)
+    total = F.expr(" + ".join(impacts.values())) + base
+    return own.select("url_id", (F.abs(1 / (1 + F.exp(-total)) - F.col("probability")) < 1e-9).alias("adds_up"),
+                      F.size("top_features").alias("places"))
+
+
+# stored scores as the model's signal of a scan
+STORED = """SELECT url_id, max(prediction_score) AS ml_probability FROM predictions_v GROUP BY url_id"""
+CTES["sm_signals"] = f"""SELECT r.*, ml_probability::DOUBLE * 100 AS ml_score, NULL::DOUBLE AS ip_score,
+    CASE WHEN highest_risk > 0 THEN highest_risk::DOUBLE END AS domain_score,
+    NULL::DOUBLE AS threat_score FROM s_rules r LEFT JOIN ({STORED}) USING (url_id)"""
+CTES |= fuse_ctes("sm_", "sm_signals")
+
+
+@query("scan_batch_ml", f"SELECT url_id, prediction, verdict, {half_up('risk_score', 2)} AS risk_score FROM sm_fused")
+def _(t):
+    ml = t.predictions_v.groupBy("url_id").agg(F.max("prediction_score").cast("double").alias("ml_probability"))
+    fused = S.scan_batch(t.url_corpus, ml=ml)
+    return fused.select("url_id", "prediction", "verdict", "risk_score")
 
 
 # --- evaluation of stored scores ------------------------------------------------------------------
