@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+
 from linkguard.operators import domains as E, ips as I, normalize as N, traffic as G, \
     url_features as U
+from linkguard.shared import staged
 
 STRUCTURAL = ["is_private", "is_ipv6", "ip_numeric", "octet_1", "octet_2", "octet_3", "octet_4"]
 HISTORY = ["threat_score", "total_requests", "active_threats_count", "is_known_malicious",
@@ -19,7 +21,7 @@ FEATURES = U.URL_FEATURES + list(E.DNS_FEATURES) + list(E.WHOIS_FEATURES) + IP_S
 
 def ip_side(ips: DataFrame, table, threats, alerts, abuse, geo, traffic, as_of: str) -> DataFrame:
     """All per-address features, one row per distinct address."""
-    ips = ips.select("ip_address").where("ip_address IS NOT NULL").distinct()
+    ips = staged(ips.select("ip_address").where("ip_address IS NOT NULL").distinct(), "addresses")
     intel = I.intelligence(ips, table, threats, alerts, abuse, geo, as_of)
     parts = [I.structural(ips), I.history_features(ips, table, threats, as_of),
              I.intel_features(intel), I.geo_features(ips, geo),
@@ -35,10 +37,12 @@ def feature_table(urls: DataFrame, dns, whois, table, threats, alerts, abuse, ge
     DNS, WHOIS and IP features are built once per distinct domain / address and joined by key, so
     a domain shared by many URLs is looked up once.
     """
-    rows = urls.where("full_url <> '' AND domain <> ''")
+    rows = urls.where("full_url <> '' AND domain <> ''").select("url_id", "full_url", "domain")
     doms = rows.select("domain").distinct()
     dom = E.resolve(E.whois_features(E.dns_features(doms, E.dns_by_domain(dns)),
                                      E.whois_by_domain(whois, as_of)), dns)
+    # the distinct domains with their features and address; five address parts start from it
+    dom = staged(dom, "domains")
     dom = dom.join(ip_side(dom, table, threats, alerts, abuse, geo, traffic, as_of),
                    "ip_address", "left").drop("ip_address")
     feats = U.url_features(N.url_normalize(rows, keep=["domain"]), keep=["domain"])
