@@ -24,14 +24,18 @@ def main() -> None:
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     n_urls = catalog.QUERIES["url_count"](spark, folder).first().n
-    times = {}
+    run = lambda df: df.write.format("noop").mode("overwrite").save()
+    run(catalog.QUERIES["url_normalize"](spark, folder))  # warm up
+    times, build = {}, {}
     for name in HEADLINE:
         t0 = time.time()
-        catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        df = catalog.QUERIES[name](spark, folder)
+        build[name] = round(time.time() - t0, 3)
+        run(df)
         times[name] = round(time.time() - t0, 3)
     print(json.dumps({
         "metric": "total wall-clock of the headline queries", "value": round(sum(times.values()), 3),
-        "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/")),
+        "unit": "sec", "queries": times, "build": build, "sf": os.path.basename(folder.rstrip("/")),
         "urls_per_sec_scan": round(n_urls / times["scan_batch"], 1)}))
 
 

@@ -80,6 +80,6 @@ def training_set(urls: DataFrame, cache: DataFrame, limit: int | None = 1000) ->
     if limit is None:
         return u.join(c, "url_id", "left")
     top = u.orderBy(*order).limit(limit)
-    c = c.join(F.broadcast(top.select("url_id")), "url_id", "left_semi")
+    c = c.join(top.select("url_id"), "url_id", "left_semi")
     return top.join(c, "url_id", "left").orderBy(*order, F.asc_nulls_first("feature_vector")).limit(
         limit)

@@ -77,13 +77,13 @@ def brand_band(brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
 
 
 def candidates(labels: DataFrame, brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
-    """Label/brand pairs by an equi-join on the text length. The brand side is a fixed table
-    (168 brands, a dozen lengths each), hence the broadcast."""
+    """Label/brand pairs by an equi-join on the text length. The built-in dictionary is small (168
+    brands, a dozen lengths each) and is broadcast by its size; a caller's may be of any size."""
     texts = ("filter(array(named_struct('kind', 'plain', 'text', normalized), "
              "named_struct('kind', 'xn', 'text', decoded)), e -> e.text <> '')")
     df = labels.withColumn("e", F.explode(F.expr(texts))).withColumn(
         "cand_len", F.length("e.text")).withColumn("kind", F.col("e.kind"))
-    return df.join(F.broadcast(brand_band(brands, tol)), ["kind", "cand_len"]).drop(
+    return df.join(brand_band(brands, tol), ["kind", "cand_len"]).drop(
         "e", "cand_len")
 
 

@@ -261,13 +261,13 @@ def threat_profile(table: DataFrame, threats: DataFrame, alerts: DataFrame, traf
         alerts = alerts.where(F.col("source_ip") == ip)
         traffic = traffic.where((F.col("src_ip") == ip) | (F.col("dst_ip") == ip))
     th = threats.where("is_active").groupBy("ip_address").agg(
-        F.countDistinct("threat_id").alias("threat_count"),
+        F.count("*").alias("threat_count"),
         F.array_join(F.array_sort(F.collect_set("threat_type")), ",").alias("threat_types"))
     al = alerts.groupBy(F.col("source_ip").alias("ip_address")).agg(
-        F.countDistinct("alert_id").alias("alert_count"))
+        F.count("*").alias("alert_count"))
     ends = traffic.select("log_id", F.explode(F.array_distinct(F.array("src_ip", "dst_ip")))
                           .alias("ip_address"))
-    tr = ends.groupBy("ip_address").agg(F.countDistinct("log_id").alias("traffic_count"))
+    tr = ends.groupBy("ip_address").agg(F.count("*").alias("traffic_count"))
     df = table.select("ip_address", "country", "city", "threat_score", "total_requests")
     for d in (th, al, tr):
         df = df.join(d, "ip_address", "left")

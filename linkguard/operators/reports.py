@@ -68,14 +68,14 @@ def top_malicious_domains_simple(urls, limit: int = 8) -> DataFrame:
 
 
 def top_threat_ips(ips, threats, limit: int = 10) -> DataFrame:
-    """The top addresses first; they are at most ``limit`` rows and go to the threats as a
-    broadcast filter."""
+    """The top addresses first; they filter the threats, and are
+    broadcast where their size allows it."""
     top = (ips.where("threat_score > 0").orderBy(F.desc("threat_score"), "ip_id").limit(limit)
            .select("ip_id", "ip_address", "country", "threat_score"))
-    active = threats.where("is_active").join(F.broadcast(top.select("ip_address")), "ip_address",
+    active = threats.where("is_active").join(top.select("ip_address"), "ip_address",
                                              "left_semi")
     agg = active.groupBy("ip_address").agg(
-        F.countDistinct("threat_id").alias("threat_count"),
+        F.count("*").alias("threat_count"),
         F.array_join(F.array_sort(F.collect_set("threat_type")), ",").alias("threat_types"))
     return top.join(agg, "ip_address", "left").selectExpr(
         "ip_address", "country", "threat_score", "coalesce(threat_count, 0) AS threat_count",
@@ -99,12 +99,12 @@ def alert_resolution_stats(alerts) -> DataFrame:
 def geo_threat_distribution(ips, alerts, as_of: str, days: int = 30, limit: int = 20) -> DataFrame:
     """Alerts are counted per address before the join; the average stays weighted by alerts."""
     per_ip = alerts.where(since("ts", as_of, days, "DAY")).groupBy("source_ip").agg(
-        F.countDistinct("alert_id").alias("n"), F.count("*").alias("c"),
+        F.count("*").alias("n"),
         F.collect_set("alert_type").alias("t"))
     df = ips.join(per_ip, F.col("ip_address") == F.col("source_ip"))
     return (df.groupBy("country", "city").agg(
         F.sum("n").alias("alert_count"),
-        (F.sum(F.col("threat_score") * F.col("c")) / F.sum("c")).alias("avg_threat_score"),
+        (F.sum(F.col("threat_score") * F.col("n")) / F.sum("n")).alias("avg_threat_score"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("t")))), ",")
         .alias("alert_types"))
         .orderBy(F.desc("alert_count"), "country", "city").limit(limit))
@@ -126,7 +126,7 @@ def url_search(urls, predictions, term: str, limit: int = 50) -> DataFrame:
     hit = (F.contains(F.lower("full_url"), F.lit(term.lower()))
            | F.contains(F.lower("domain"), F.lit(term.lower())))
     top = urls.where(hit).orderBy(F.desc("submission_date"), F.desc("url_id")).limit(limit)
-    preds = predictions.join(F.broadcast(top.select("url_id")), "url_id", "left_semi").select(
+    preds = predictions.join(top.select("url_id"), "url_id", "left_semi").select(
         "url_id", "prediction_id", "prediction_score", "predicted_class")
     return (top.join(preds, "url_id", "left")
             .orderBy(F.desc("submission_date"), F.desc("url_id"), F.asc_nulls_first("prediction_id"))
@@ -143,10 +143,10 @@ def threat_stats_range(alerts, start: str, end: str) -> DataFrame:
 def recent_threats(alerts, ips, urls, predictions, limit: int = 100) -> DataFrame:
     """Newest alerts with their address, URL and predictions; fan-out by predictions is kept."""
     top = alerts.orderBy(F.desc("ts"), F.desc("alert_id")).limit(limit)
-    ip = ips.join(F.broadcast(top.select(F.col("source_ip").alias("ip_address"))), "ip_address",
+    ip = ips.join(top.select(F.col("source_ip").alias("ip_address")), "ip_address",
                   "left_semi").select(F.col("ip_address").alias("source_ip"),
                                       F.col("country").alias("source_country"))
-    ids = F.broadcast(top.select("url_id"))
+    ids = top.select("url_id")
     u = urls.join(ids, "url_id", "left_semi").select("url_id", "full_url")
     p = predictions.join(ids, "url_id", "left_semi").select(
         "url_id", "prediction_id", "prediction_score", "predicted_class")
@@ -251,7 +251,7 @@ def report_url_scans(urls, predictions, start: str, end: str, limit: int = 100)
     p = predictions.where(on_days("prediction_timestamp", start, end))
     top = (p.join(urls.select("url_id"), "url_id", "left_semi")
            .orderBy(F.desc("prediction_timestamp"), F.desc("prediction_id")).limit(limit))
-    u = urls.join(F.broadcast(top.select("url_id")), "url_id", "left_semi").select(
+    u = urls.join(top.select("url_id"), "url_id", "left_semi").select(
         "url_id", "full_url", "domain", "is_malicious")
     return top.join(u, "url_id").select("full_url", "domain", "is_malicious", "predicted_class",
                                         "prediction_score", "prediction_timestamp")

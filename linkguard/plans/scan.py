@@ -32,13 +32,17 @@ def risk_signals(ruled: DataFrame, ml: DataFrame | None = None, ip: DataFrame |
     df = ruled
     df = df.join(ml, "url_id", "left") if ml is not None else \
         df.withColumn("ml_probability", F.lit(None).cast("double"))
+    # hosts that are addresses have no registered domain; as one shared empty key they would be hot
+    some = "CASE WHEN registered_domain <> '' THEN registered_domain ELSE concat('\\u0000', url_id) END"
+    if ip is not None or domains is not None:
+        df = add(df, signal_key=some)
     if ip is not None:
-        df = df.join(ip, "registered_domain", "left")
+        df = df.join(ip.withColumnRenamed("registered_domain", "signal_key"), "signal_key", "left")
         df = add(df, ip_score="cast(combined_risk as double) * 100",
                  threat_score="cast(abuse_score as double)")
     else:
         df = add(df, ip_score="cast(NULL as double)", threat_score="cast(NULL as double)")
-    df = df.join(domains, "registered_domain", "left") if domains is not None else \
+    df = df.join(domains.withColumnRenamed("registered_domain", "signal_key"), "signal_key", "left") if domains is not None else \
         df.withColumn("domain_score", F.lit(None).cast("double"))
     return K.domain_score_blend(df)
 
