@@ -108,12 +108,16 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         F.col("lang").cast("string").alias("lang"))
     n, df = document_frequencies(train)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    # the first of each language by hash: a ranked window that Spark cuts before the shuffle
-    keyed = train.select("lang", F.xxhash64("id", "text").alias("h"), "text").where(F.rlike("text", F.lit("\\p{L}")))
-    sample = stage(keyed.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-                   .where(F.col("nth") <= per_language).select("lang", "text"), "sample")
-    if sample.select("lang").distinct().count() > MAX_LANGUAGES:
+    train = train.where(F.rlike("text", F.lit("\\p{L}")))
+    many = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(many) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # the first of each language by hash; what lies far above their expected place is not even sorted
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in many.items() for x in (k, min(1.0, 4.0 * per_language / n))]),
+                         F.col("lang")) if many else F.lit(1.0)
+    keyed = train.select("lang", F.xxhash64("id", "text").alias("h"), "text").where(F.col("h") / 2.0 ** 64 + 0.5 <= share)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = stage(keyed.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text"), "sample")
 
     def centroids(key, t):
         c = counts(t.column("text"))
