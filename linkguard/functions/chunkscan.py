@@ -31,11 +31,18 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk, *, sum
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         """Complete groups of a sorted stream of batches, as column name -> array slice."""
-        rest = None
+        rest: list[pd.DataFrame] = []
+
+        def key(frame, i):
+            return [frame[c].iloc[i] for c in by]
+
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if not len(b):
                 continue
+            if rest and key(rest[-1], -1) == key(b, 0) == key(b, -1):  # sorted, so one group all through
+                rest.append(b)
+                continue
+            b = pd.concat([*rest, b], ignore_index=True) if rest else b
             cols = {c: b[c].to_numpy() for c in b.columns}
             new = np.zeros(len(b) - 1, dtype=bool)
             for c in by:
@@ -43,9 +50,10 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk, *, sum
             starts = np.concatenate([[0], np.flatnonzero(new) + 1])
             for i, j in zip(starts[:-1], starts[1:]):
                 yield {c: v[i:j] for c, v in cols.items()}
-            rest = b.iloc[starts[-1]:]
-        if rest is not None and len(rest):
-            yield {c: rest[c].to_numpy() for c in rest.columns}
+            rest = [b.iloc[starts[-1]:]]
+        if rest:
+            last = pd.concat(rest, ignore_index=True)
+            yield {c: last[c].to_numpy() for c in last.columns}
 
     def run_summaries(batches):
         rows = []

@@ -39,6 +39,17 @@ def brute_throttle(rows, seconds=60):
 ATTEMPT = "attempt_id long, source_ip string, alert_type string, ts timestamp_ntz"
 
 
+def test_throttle_over_small_batches(spark):
+    """Groups that span many Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        rows = attempts(1500)
+        got = A.alert_throttle(spark.createDataFrame(rows, ATTEMPT), chunk_seconds=100000).where("emitted")
+        assert {r.attempt_id for r in got.collect()} == brute_throttle(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_throttle_equals_brute_force(spark):
     rows = attempts()
     df = spark.createDataFrame(rows, ATTEMPT)
