@@ -77,8 +77,11 @@ def judge(pages: DataFrame, rules=None, sample: int = SAMPLE, rounds: int = 20)
     rows = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path")) \
         .withColumn("hit", fitting_rule(F.col("host"), F.col("path"), rules)) \
         .select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))
-    picked = (rows.where("rule is not null").select("url", "host", "path", (F.col("verdict") == "block").cast("double")
-              .alias("label")).orderBy(F.xxhash64("url"), "url").limit(sample))
+    ruled = rows.where("rule is not null")
+    share = min(1.0, 4.0 * sample / max(1, ruled.count()))  # what lies far above the sample's place is not even sorted
+    picked = (ruled.select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label"),
+                           F.xxhash64("url").alias("h")).where(F.col("h") / 2.0 ** 64 + 0.5 <= share)
+              .orderBy("h", "url").limit(sample).drop("h"))
     train = stage(features(picked), "labelled")
     n, blocked = train.agg(F.count("*"), F.sum("label")).first()
     plain = ["page_id", "host", "path", "rule"]
