@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import parts, texthash
@@ -71,9 +71,9 @@ class _Part:
         return np.unique(self.key >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
 
 
-def _classes(docs: DataFrame, size: int, percent: int, part_bytes: int) -> DataFrame:
-    """Staged: doc_id, digest (of the text), n, set_a, set_b, toks (shingles that occur elsewhere, rare first; null if too few do)."""
-    packed = parts.pack(docs, part_bytes, digest=True)
+def _sets(docs: DataFrame, size: int, percent: int, part_bytes: int, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
+    """Parts, and staged: part, row, doc_id, n, set_a, set_b, toks (shingles that occur elsewhere, rare first; null if too few)."""
+    packed = parts.pack(docs, part_bytes, whole_rows)
     layout = parts.Layout(packed)
     bits, split = layout.filter_bits, layout.bucket_bits
 
@@ -109,12 +109,12 @@ def _classes(docs: DataFrame, size: int, percent: int, part_bytes: int) -> DataF
         for i in range(len(n)):
             mine = order[p.first[i] + n[i] - shared[i]:p.first[i + 1]] if live[i] else None
             toks.append(None if mine is None else p.key[mine].tobytes())
-        return pa.table({"doc_id": parts.null_ids(ids), "digest": p.table.column("digest"),
-                         "n": pa.array(n, pa.int64()), "set_a": pa.array(a), "set_b": pa.array(b),
+        return pa.table({"part": pa.array([part] * len(n), pa.int64()), "row": pa.array(np.arange(len(n)), pa.int32()),
+                         "doc_id": parts.null_ids(ids), "n": pa.array(n, pa.int64()), "set_a": pa.array(a), "set_b": pa.array(b),
                          "toks": pa.array(toks, pa.binary())})
 
-    return stage(parts.tell(packed, {"codes": codes}, reduce,
-                            "doc_id long, digest long, n long, set_a long, set_b long, toks binary"), "sets")
+    return packed, stage(parts.tell(packed, {"codes": codes}, reduce, "part long, row int, doc_id long, n long, set_a long, "
+                                    "set_b long, toks binary"), "sets")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -221,8 +221,12 @@ def _block_links(classes: DataFrame, members: DataFrame, candidates: DataFrame,
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, part_bytes: int = parts.PART_BYTES) -> DataFrame:
-    """Per row: doc_id, digest (of the text), n_shingles, component_id, component (a key of the component, null if alone)."""
-    sets = _classes(docs, size, percent, part_bytes)
+    """Per row: doc_id, n_shingles, component_id, component (a key of the component, null if alone)."""
+    return _linked(docs, size, percent, part_bytes, False)[1].drop("part", "row")
+
+
+def _linked(docs: DataFrame, size: int, percent: int, part_bytes: int, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
+    packed, sets = _sets(docs, size, percent, part_bytes, whole_rows)
     classes = stage(sets.where("toks is not null").groupBy("set_a", "set_b").agg(
         F.first("n").alias("n"), F.first("toks").alias("toks"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -236,31 +240,25 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, part_byte
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))
     known = stage(named.join(ids, "component").where("size > 1").select("set_a", "set_b", "component", "component_id"), "components")
     # texts with shingles of their own meet no class; only the others need the join
-    alone = sets.where("toks is null").select("doc_id", "digest", "n", F.col("doc_id").alias("component_id"),
+    alone = sets.where("toks is null").select("part", "row", "doc_id", "n", F.col("doc_id").alias("component_id"),
                                               F.lit(None).cast("long").alias("component"))
     rest = sets.where("toks is not null").drop("toks").join(known, ["set_a", "set_b"], "left").select(
-        "doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
-    return alone.unionByName(rest).withColumnRenamed("n", "n_shingles")
+        "part", "row", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+    return packed, alone.unionByName(rest).withColumnRenamed("n", "n_shingles")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return link(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, part_bytes: int = parts.PART_BYTES) -> DataFrame:
     """One row of each component, the one with the least doc_id (of rows that share it, any); columns as they came.
 
-    Rows without a component all stay. Near duplicates take five words and 0.8 here, as elsewhere in a pipeline.
+    Rows without a component all stay. Near duplicates take five words and 0.8 here, as elsewhere in a pipeline. The rows
+    come back out of the parts that were compared, so no text is joined with the verdicts.
     """
-    found = link(docs, size, percent).where("component is not null").select("doc_id", "digest", "component").distinct()
-    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
-    gone = stage(found.join(best, "component").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"),
-        ((F.col("doc_id") == F.col("k.doc_id")) & (F.col("digest") == F.col("k.digest"))).alias("_stays")), "verdicts")
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    judged = keyed.join(gone, (keyed["doc_id"].cast("long") == gone["_id"]) & (keyed["_key"] == gone["_digest"]), "left")
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    free = judged.where("_id is null").select(*names)
-    held = judged.where("_stays").withColumn("_nth", nth).where("_nth = 1").select(*names)
-    return free.unionByName(held)
+    packed, rows = _linked(docs, size, percent, part_bytes, True)
+    found = stage(rows.where("component is not null").select("part", "row", "component", "doc_id"), "members")
+    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "part", "row")).alias("k"))
+    gone = found.join(best, "component").where((F.col("part") != F.col("k.part")) | (F.col("row") != F.col("k.row")))
+    return parts.rows_back(packed, docs, gone.select("part", "row"))

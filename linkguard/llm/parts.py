@@ -40,11 +40,13 @@ def decoded(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def pack(docs: DataFrame, part_bytes: int = PART_BYTES, digest: bool = False) -> DataFrame:
-    """Staged table of parts: part, bytes, blob. A blob has doc_id (long), text (null as empty) and, if asked for, digest."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-                       *([F.xxhash64(text).alias("digest")] if digest else []))
+def pack(docs: DataFrame, part_bytes: int = PART_BYTES, whole_rows: bool = False) -> DataFrame:
+    """Staged table of parts: part, bytes, blob. A blob has doc_id (long) and text (null as empty), and with `whole_rows` what
+    else it takes to give the rows back as they came (see `rows_back`)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       *([F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"),
+                          F.col("text").isNull().alias("no_text")] if whole_rows else []))
 
     def cut(batches):
         task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -87,6 +89,29 @@ def in_order(blob: bytes) -> pa.Table:
     return t
 
 
+def rows_back(packed: DataFrame, like: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of parts that were packed whole, but for those in gone (part, row number in the order of `in_order`)."""
+    names = like.columns
+    lists = gone.groupBy("part").agg(F.collect_list("row").alias("rows"))
+
+    def each(key, left, right):
+        drop = np.array([r for rows in right.column("rows").to_pylist() for r in rows], np.int64)
+        out = []
+        for blob in left.column("blob").to_pylist():
+            t = in_order(blob)  # parts come one by one
+            keep = np.ones(t.num_rows, bool)
+            keep[drop] = False
+            t = t.filter(pa.array(keep))
+            rest = t.column("rest").combine_chunks()
+            rest = pa.concat_arrays(rest.chunks) if isinstance(rest, pa.ChunkedArray) and rest.num_chunks != 1 else \
+                rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
+            text = pc.if_else(t.column("no_text"), pa.scalar(None, pa.string()), t.column("text"))
+            out.append(pa.table({c: text if c == "text" else pc.struct_field(rest, [c]) for c in names}))
+        return pa.concat_tables(out)
+
+    return packed.select("part", "blob").groupBy("part").cogroup(lists.groupBy("part")).applyInArrow(each, like.schema)
+
+
 def doc_ids(t: pa.Table) -> np.ndarray:
     return t.column("doc_id").to_numpy()
 
