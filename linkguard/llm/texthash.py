@@ -16,6 +16,8 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = [np.random.RandomState(11 + i).randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2 * i + 3)
           for i in range(2)]
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes of text whose running sums are held at once.
+STRETCH = 1 << 18
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -73,7 +75,16 @@ def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return slice_hashes(byte_sums(buf, seed), start, end, seed)
+    """A hash of each word, a stretch of the buffer at a time: sums take eight bytes for each byte of text."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, lo + STRETCH, side="right")))
+        sums = byte_sums(buf[lo:end[j - 1]], seed)
+        out[i:j] = slice_hashes(sums, start[i:j] - lo, end[i:j] - lo, seed)
+        i = j
+    return out
 
 
 def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -62,3 +62,20 @@ def test_repeated_rows_and_empty_tables(spark):
     none = df.limit(0)
     assert substring_dedup.digest(none).count() == 0
     assert suffix_dedup.digest(none).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from linkguard.llm import texthash
+    texts = pa.array([t for _, t in corpus(5)] + ["x" * 5000])
+    buf, offs = texthash.joined(texts)
+    start, end, _ = texthash.words(buf, offs)
+    whole = texthash.word_hashes(buf, start, end)
+    for stretch in (1, 50, 999):
+        monkeypatch.setattr(texthash, "STRETCH", stretch)
+        assert np.array_equal(texthash.word_hashes(buf, start, end), whole)
+    raw = buf.tobytes()
+    names = [raw[a:b] for a, b in zip(start, end)]
+    assert len(set(names)) == len(set(whole.tolist())) == len(set(zip(names, whole.tolist())))
