@@ -111,6 +111,13 @@ def _judged(texts: list, blocks: list, size: int) -> list[list]:
     return out
 
 
+def _slices(batches, rows: int = 200):
+    """Batches of fewer rows: the words of a whole batch as Python objects would take ten times its bytes."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -120,7 +127,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int
     shared = _shared(benchmark, block_bytes)
 
     def scan(batches):
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(1).to_pylist()
             rows = _judged(texts, shared.value, size)
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +158,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFra
     at = docs.columns.index("text")
 
     def judge(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = _judged(b.column(at).to_pylist(), shared.value, size)
             yield b.filter(pa.array([not contaminated(int(r[1].sum()), len(r[0])) for r in rows], pa.bool_()))
 
