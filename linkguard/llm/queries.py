@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, secrets, substring_dedup, suffix_dedup, tokens, topk, url_filter
+from . import (decontaminate, hard_negatives, jaccard, language, mixing, periodic, quality, secrets, substring_dedup,
+               suffix_dedup, tokens, topk, url_filter)
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -166,3 +167,58 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
 """)
 def op8(spark, sf_dir):
     return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+-- crc32, one bit of the decimal doc_id at a time
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+          lambda s: list_transform(range(8), lambda k: (CAST(ascii(s) AS BIGINT) >> CAST(k AS INTEGER)) & 1)))),
+          lambda x, bit: xor(x >> 1, (xor(x, bit) & 1) * 3988292384)), 4294967295::BIGINT) AS h FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)),
+          lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM p),
+-- a run of 12 words or more repeats six words in a row at its period
+g AS (SELECT rid, i, array_to_string(w[i + 1:i + 6], ' ') AS six FROM (SELECT rid, w, unnest(range(len(w) - 5)) AS i FROM t)),
+m AS (SELECT x.rid, y.i - x.i AS q, x.i FROM g x JOIN g y ON x.rid = y.rid AND x.six = y.six AND x.i < y.i),
+s AS (SELECT rid, q, min(i) AS start, count(*) + 5 + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m) GROUP BY rid, q, island),
+r AS (SELECT rid, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY rid, start, length),
+n AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+      FROM r GROUP BY rid),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) AS nth FROM r) WHERE nth = 1),
+x AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT v.rid, string_agg(word, ' ' ORDER BY v.i) AS kept
+      FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t) v LEFT JOIN x ON x.rid = v.rid AND x.i = v.i
+      WHERE x.rid IS NULL GROUP BY v.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length,
+       CAST(b.period AS BIGINT) AS period, CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN n USING (rid) LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)
+""")
+def op11(spark, sf_dir):
+    return periodic.digest(periodic.with_planted_periods(table(spark, sf_dir, "documents")))
+
+
+@query("op12_quality")
+def op12(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_hard_negatives", r"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) WHERE nth <= 5),
+n AS (SELECT p.rid, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.rid, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""")
+def op13(spark, sf_dir):
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
