@@ -66,3 +66,10 @@ def punycode_decode(label: str) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(decode, na_action="ignore")
     return F.pandas_udf(run, T.StringType())(F.col(label))
+
+
+def punycode_encode(text: str) -> Column:
+    """The encoded form of a label, without the ``xn--`` in front."""
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x.encode("punycode").decode("ascii"), na_action="ignore")
+    return F.pandas_udf(run, T.StringType())(F.col(text))

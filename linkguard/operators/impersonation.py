@@ -1,7 +1,9 @@
 """Brand impersonation: a fuzzy join of host labels with the brand dictionary.
 
-Work is done once per distinct host. Candidate pairs come from an equi-join on the label length
-against a brand table repeated for every length within the tolerance, so there is no cross join.
+Work is done once per distinct host. Candidate pairs come from a piece index over the brands: a text
+within edit distance d of a brand holds at least one of d + 1 pieces of it, moved by no more than d,
+and a label that embeds a brand holds it whole. So labels and brands meet in an equi-join on pieces,
+and the pairs per label do not grow with the brand table unless brands really are that similar.
 """
 
 from __future__ import annotations
@@ -76,9 +78,9 @@ def brand_band(brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
                      F.explode(F.sequence("s.lo", "s.hi")).alias("cand_len"))
 
 
-def candidates(labels: DataFrame, brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
-    """Label/brand pairs by an equi-join on the text length. The built-in dictionary is small (168
-    brands, a dozen lengths each) and is broadcast by its size; a caller's may be of any size."""
+def length_pairs(labels: DataFrame, brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
+    """All label/brand pairs of comparable length, by an equi-join on the text length. They grow with
+    labels times brands; detection uses ``candidates``."""
     texts = ("filter(array(named_struct('kind', 'plain', 'text', normalized), "
              "named_struct('kind', 'xn', 'text', decoded)), e -> e.text <> '')")
     df = labels.withColumn("e", F.explode(F.expr(texts))).withColumn(
@@ -87,6 +89,77 @@ def candidates(labels: DataFrame, brands: DataFrame, tol: int = C.LENGTH_TOLERAN
         "e", "cand_len")
 
 
+# --- piece index: key of an edit piece is e<brand length>,<distance>,<number>:<piece>, of a whole brand c:<brand>
+_NO_KEYS = "cast(array() as array<string>)"
+
+
+def _span(lo: str, hi: str, var: str, body: str) -> str:
+    """SQL array of ``body`` for ``var`` from ``lo`` to ``hi``; empty if there is none."""
+    return f"CASE WHEN {lo} <= {hi} THEN transform(sequence({lo}, {hi}), {var} -> {body}) ELSE array() END"
+
+
+def _piece(l: str, d: str, i: str) -> tuple[str, str]:
+    """Start (from 0) and length of piece ``i`` of ``d + 1`` of a text of length ``l``."""
+    start = f"cast({i} * {l} div ({d} + 1) as int)"
+    return start, f"cast(({i} + 1) * {l} div ({d} + 1) as int) - {start}"
+
+
+def brand_index(brands: DataFrame) -> DataFrame:
+    """The brands once per key: whole, and cut into the pieces of each distance that their length and
+    that of a text within similarity 0.75 allow."""
+    l = "length(brand)"
+    start, size = _piece(l, "d", "i")
+    cut = f"transform(sequence(0, d), i -> concat('e', {l}, ',', d, ',', i, ':', substr(brand, {start} + 1, {size})))"
+    keys = (f"concat(array(concat('c:', brand)), flatten(transform(sequence({l} div 4, "
+            f"cast(floor({l} / 0.75D) as int) div 4), d -> {cut})))")
+    return brands.where("brand <> ''").select("*", F.explode(F.expr(keys)).alias("key"))
+
+
+def _edit_keys(text: str, tol: int | None) -> str:
+    """SQL array of the keys that ``text`` shares with every brand within similarity 0.75: for each
+    brand length and piece, the substrings at the places where that piece can have moved to (it moves
+    by no more than the edits before it, and by no more than those behind it allow)."""
+    m = f"length({text})"
+    lo, hi = f"cast(ceil({m} * 0.75D) as int)", f"least(cast(floor({m} / 0.75D) as int), longest)"
+    if tol is not None:
+        lo, hi = f"greatest({lo}, {m} - {tol}, 1)", f"least({hi}, {m} + {tol})"
+    start, size = _piece("l", "d", "i")
+
+    def windows(p):
+        first = f"greatest(0, {p} - i, {p} + {m} - l - d + i)"
+        last = f"least({m} - ({size}), {p} + i, {p} + {m} - l + d - i)"
+        key = f"concat('e', l, ',', d, ',', i, ':', substr({text}, s + 1, {size}))"
+        return _span(first, last, "s", key)
+    per_piece = f"flatten(transform(sequence(0, d), i -> {let(start, windows)}))"
+    per_length = f"transform(array(cast(greatest({m}, l) div 4 as int)), d -> {per_piece})[0]"
+    return f"CASE WHEN {text} <> '' THEN flatten({_span(lo, hi, 'l', per_length)}) ELSE {_NO_KEYS} END"
+
+
+def _whole_keys(tol: int) -> str:
+    """SQL array of the substrings of ``label`` that can be an embedded brand."""
+    m = "length(label)"
+    lo = f"greatest(1, length(normalized) - {tol}, cast(ceil({m} / 2.5D) as int))"
+    hi = f"least(length(normalized) + {tol}, {m}, longest)"
+    cut = _span("0", f"{m} - l", "s", "concat('c:', substr(label, s + 1, l))")
+    return f"flatten({_span(lo, hi, 'l', cut)})"
+
+
+def candidates(labels: DataFrame, brands: DataFrame, tol: int = C.LENGTH_TOLERANCE) -> DataFrame:
+    """Label/brand pairs that share a key of the piece index: a superset of all pairs that any
+    detection step reports, each pair once. The built-in dictionary (168 brands) is broadcast by its
+    size; a caller's may be of any size."""
+    longest = brands.agg(F.coalesce(F.max(F.length("brand")), F.lit(0))).scalar()
+    rest = labels.columns
+    plain = (f"concat({_whole_keys(tol)}, {_edit_keys('normalized', tol)}, "
+             f"CASE WHEN has_homoglyph THEN {_edit_keys('latin', None)} ELSE {_NO_KEYS} END)")
+    texts = (f"array(named_struct('kind', 'plain', 'keys', array_distinct({plain})), "
+             f"named_struct('kind', 'xn', 'keys', array_distinct({_edit_keys('decoded', None)})))")
+    df = labels.withColumn("longest", longest).withColumn("e", F.explode(F.expr(texts)))
+    df = df.select(*rest, F.col("e.kind").alias("kind"), F.explode("e.keys").alias("key"))
+    found = df.join(brand_index(brands), "key").drop("key")
+    return found.where(f"kind = 'xn' OR abs(length(normalized) - length(brand)) <= {tol}").distinct()
+
+
 def similarity_sql(a: str, b: str = "brand") -> str:
     return (f"CASE WHEN {a} = {b} THEN 1D ELSE 1D - levenshtein({a}, {b}) / "
             f"cast(greatest(length({a}), length({b})) as double) END")

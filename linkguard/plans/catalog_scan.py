@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from linkguard import constants as C
 from linkguard.operators import impersonation as I, normalize as N, risk as K, rules as R
 from linkguard.plans import scan as S
 from linkguard.plans.oracle_ctes import CTES, fuse_ctes, half_up
@@ -113,7 +114,15 @@ def _(t):
 
 @query("ts_candidates", "SELECT DISTINCT label, brand FROM c_pairs")
 def _(t):
-    return pairs(t).where("kind = 'plain'").select("label", "brand")
+    every = I.length_pairs(I.normalize_labels(labels(t).select("label").distinct()), I.brand_dim(t.spark))
+    return every.where("kind = 'plain'").select("label", "brand")
+
+
+@query("ts_piece_candidates", """SELECT DISTINCT label, brand FROM c_pairs
+    WHERE lev_sim >= 0.75 OR (contains(label, brand) AND len(label) <= len(brand) * 2.5)""")
+def _(t):
+    near = f"{I._close('normalized')} OR (contains(label, brand) AND length(label) <= length(brand) * 2.5D)"
+    return pairs(t).where("kind = 'plain'").where(near).select("label", "brand")
 
 
 @query("ts_combosquat", """SELECT DISTINCT label, brand, sim AS similarity, details FROM c_found
@@ -162,6 +171,47 @@ def _(t):
                                      F.round("similarity", 6).alias("similarity"), "risk")
 
 
+# brands of the dictionary in many spellings, one for each page: embedded whole, or encoded with one look-alike letter
+N_BRANDS = len({b.lower() for b in C.BRANDS})
+CTES["c_page_brands"] = f"""SELECT page_id, brand, 1 + (page_id // {N_BRANDS} + page_id) % len(brand) AS k
+    FROM (SELECT *, row_number() OVER (ORDER BY brand_pos) - 1 AS nth FROM brand_list) JOIN pages ON nth = page_id % {N_BRANDS}"""
+EMBEDDED = ["{b} || '-' || chr(97 + (page_id % 26)::INT)", "'my' || {b}", "{b} || (page_id % 90)"]
+
+
+def page_brands(t: Tables) -> DataFrame:
+    order = t.spark.createDataFrame(
+        [(i, r.brand) for i, r in enumerate(sorted(I.brand_dim(t.spark).collect(), key=lambda r: r.brand_pos))], "nth long, brand string")
+    pages = t.sql(f"SELECT page_id, page_id % {N_BRANDS} AS nth FROM pages")
+    return pages.join(order, "nth").withColumn("k", F.expr("cast(1 + (page_id div {0} + page_id) % length(brand) as int)".format(N_BRANDS)))
+
+
+@query("ts_combosquat_pages", "SELECT DISTINCT label, b.brand FROM (" + " UNION ALL ".join(
+    f"SELECT {x.format(b='brand')} AS label FROM c_page_brands" for x in EMBEDDED) + """) JOIN brand_list b
+    ON contains(label, b.brand) AND label <> b.brand AND abs(len(label) - len(b.brand)) <= 3 AND len(label) <= len(b.brand) * 2.5
+    WHERE len(label) >= 3""")
+def _(t):
+    spelled = [x.format(b="brand").replace("(page_id % 26)::INT", "page_id % 26") for x in EMBEDDED]
+    rows = page_brands(t).select(F.explode(F.expr(f"array({', '.join(spelled)})")).alias("label")).distinct()
+    found = I.label_matches(I.candidates(I.normalize_labels(rows), I.brand_dim(t.spark)))
+    return found.where(F.col("step") == I.COMBO).select("label", "brand")
+
+
+@query("ts_punycode_pages", f"""SELECT DISTINCT odd AS decoded, b.brand, round(sim, 6) AS similarity FROM (
+    SELECT odd, b.brand, 1.0::DOUBLE - levenshtein(asked, b.brand) / greatest(len(asked), len(b.brand))::DOUBLE AS sim
+    FROM (SELECT brand[:k - 1] || translate(brand[k], '{''.join(GLYPHS)}', '{''.join(GLYPHS.values())}') || brand[k + 1:] AS odd,
+            brand[:k - 1] || '?' || brand[k + 1:] AS asked FROM c_page_brands
+          WHERE contains('{''.join(GLYPHS)}', brand[k])), brand_list b) b WHERE sim >= 0.75""")
+def _(t):
+    from linkguard.functions.unicode import punycode_encode
+    odd = F.expr(f"concat(substr(brand, 1, k - 1), translate(substr(brand, k, 1), '{''.join(GLYPHS)}', "
+                 f"'{''.join(GLYPHS.values())}'), substr(brand, k + 1))")
+    rows = page_brands(t).select("brand", odd.alias("odd")).where("odd <> brand").select("odd").distinct() \
+        .withColumn("label", F.concat(F.lit("xn--"), punycode_encode("odd")))
+    found = I.label_matches(I.candidates(I.normalize_labels(rows), I.brand_dim(t.spark)))
+    return found.where(F.col("step") == I.PUNY).select(
+        F.col("odd").alias("decoded"), "brand", F.round("similarity", 6).alias("similarity"))
+
+
 @query("typosquat_matches", """SELECT ts_host, brand, technique, round(similarity, 6) AS similarity,
     risk, details FROM c_typo""")
 def _(t):
