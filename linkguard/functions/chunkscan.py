@@ -1,9 +1,9 @@
 """An ordered fold per key that never puts one key's whole history into one task.
 
-The history of a key is cut into time chunks. (1) every chunk is summarised on its own as a
-function of the state it is entered with, (2) the small summaries of a key are walked in order to
-find each chunk's entry state, (3) every chunk is replayed from that state. Steps 1 and 3 are
-spread over (key, chunk); step 2 handles one small row per chunk and streams.
+The history of a key is cut into chunks of at most a given number of rows. (1) every chunk is
+summarised on its own as a function of the state it is entered with, (2) the small summaries of a key
+are walked in order to find each chunk's entry state, (3) every chunk is replayed from that state.
+Steps 1 and 3 are spread over (key, chunk); step 2 handles one small row per chunk and streams.
 """
 
 from __future__ import annotations
@@ -12,21 +12,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from linkguard.shared import staged
 
-def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk, *, summary_schema: str,
+#: Rows of a chunk, as a power of two.
+CHUNK_BITS = 14
+
+
+def count_chunks(df: DataFrame, keys: list[str], order: list[str], bits: int = CHUNK_BITS) -> DataFrame:
+    """Adds ``_chunk``, which grows with ``order`` and holds at most ``2 ** bits`` rows, of a key or of all.
+
+    Rows are dealt out by ranges of (key, order), so a hot key covers many partitions, and a partition's rows are cut every
+    ``2 ** bits`` of them: the running number starts anew at a multiple of that in each partition. Ranges rest on samples
+    that a second run need not draw alike, so the chunks are written to the shared folder once.
+    """
+    by = [*keys, *order]
+    cut = F.shiftright(F.monotonically_increasing_id(), bits)
+    return staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_chunk", cut), "chunks")
+
+
+def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | int, *, summary_schema: str,
                  state_schema: str, out_schema: str, summarize: Callable, step: Callable,
                  initial, replay: Callable) -> DataFrame:
-    """``chunk`` is a Column that grows with ``order``.
+    """``chunk`` is the power of two of a chunk's rows, or a Column that grows with ``order``.
 
     ``summarize(group) -> tuple`` (columns of ``summary_schema``), ``step(state, summary_row) ->
     state`` and ``replay(group, state) -> dict of arrays`` (columns of ``out_schema``) run in Python
     on one chunk at a time, a dict of arrays; a state is one value of ``state_schema`` type.
     """
-    part = df.withColumn("_chunk", chunk)
+    part = count_chunks(df, keys, order, chunk) if isinstance(chunk, int) else df.withColumn("_chunk", chunk)
     by = [*keys, "_chunk"]
-    types = dict(df.dtypes)
+    types = dict(part.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:

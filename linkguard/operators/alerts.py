@@ -7,11 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkguard import constants as C
-from linkguard.functions.chunkscan import chunked_scan, time_chunk
+from linkguard.functions.chunkscan import CHUNK_BITS, chunked_scan, time_chunk
 from linkguard.functions.sqlutil import add, in_list, lit
 
-CHUNK_SECONDS = 600
-
 
 def micros(ts: str = "ts") -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
@@ -19,19 +17,19 @@ def micros(ts: str = "ts") -> Column:
 
 
 def alert_throttle(attempts: DataFrame, seconds: int = 60, id_col: str = "attempt_id",
-                   chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+                   chunk_seconds: int | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Adds ``emitted``: per (source_ip, alert_type) an attempt passes when at least ``seconds``
     have gone by since the last one that passed. Equal times: the lowest id passes.
 
     The fold runs on distinct (key, time) pairs, chunk by chunk, so a hot key is spread over its
-    time chunks. A chunk's summary maps "first attempt let through" to "last attempt let through";
-    equal outcomes are merged into ranges.
+    chunks of at most ``2 ** chunk_bits`` rows (or of ``chunk_seconds``, where that is given). A
+    chunk's summary maps "first attempt let through" to "last attempt let through"; equal outcomes
+    are merged into ranges.
     """
     gap = seconds * 1_000_000
     keys = ["source_ip", "alert_type"]
     times = (attempts.select(*keys, micros().alias("us"), id_col).groupBy(*keys, "us")
              .agg(F.min(id_col).alias(id_col)))
-    span = chunk_seconds * 1_000_000
 
     def last_of(t, start):
         """Last attempt let through when ``t[start]`` (an index array) is the first one."""
@@ -46,8 +44,7 @@ def alert_throttle(attempts: DataFrame, seconds: int = 60, id_col: str = "attemp
 
     def summarize(g):
         t = g["us"]
-        begin = (t[0] // span) * span
-        n = min(int(np.searchsorted(t, begin + gap)) + 1, len(t))
+        n = min(int(np.searchsorted(t, t[0] + gap)) + 1, len(t))  # what came before lies before t[0]
         first = np.arange(n)
         last = last_of(t, first)
         keep = np.append(last[1:] != last[:-1], True)
@@ -68,7 +65,7 @@ def alert_throttle(attempts: DataFrame, seconds: int = 60, id_col: str = "attemp
         return {id_col: g[id_col][hits]}
 
     emitted = chunked_scan(
-        times, keys, ["us"], time_chunk("us", chunk_seconds),
+        times, keys, ["us"], time_chunk("us", chunk_seconds) if chunk_seconds else chunk_bits,
         summary_schema="upto array<bigint>, last array<bigint>", state_schema="bigint",
         out_schema=f"{id_col} bigint", summarize=summarize, step=step, initial=None, replay=replay)
     return attempts.join(emitted.withColumn("emitted", F.lit(True)), id_col, "left").withColumn(
@@ -119,7 +116,8 @@ def transition_check(commands: DataFrame, alerts: DataFrame) -> DataFrame:
     return check_against(commands.join(cur, "alert_id", "left"))
 
 
-def status_history(commands: DataFrame, alerts: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+def status_history(commands: DataFrame, alerts: DataFrame, chunk_seconds: int | None = None,
+                   chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Every command with the status it meets when all are applied in (ts, cmd_id) order."""
     names = list(C.STATUSES)
     code = {s: i for i, s in enumerate(names)}
@@ -151,7 +149,7 @@ def status_history(commands: DataFrame, alerts: DataFrame, chunk_seconds: int =
         return {"cmd_id": g["cmd_id"], "met_status": np.array(met, dtype=object)}
 
     met = chunked_scan(
-        known, ["alert_id"], ["us", "cmd_id"], time_chunk("us", chunk_seconds),
+        known, ["alert_id"], ["us", "cmd_id"], time_chunk("us", chunk_seconds) if chunk_seconds else chunk_bits,
         summary_schema="moves array<int>, start string", state_schema="string",
         out_schema="cmd_id bigint, met_status string", summarize=summarize, step=step,
         initial=None, replay=replay)

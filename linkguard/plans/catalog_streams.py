@@ -81,33 +81,38 @@ CTES["t_threats"] = quick_sql(C.LIVE_TLDS, C.LIVE_KEYWORDS, 2, "'suspicious_tld:
     "a_flow_urls", "t_urls")
 CTES["t_alerts"] = """SELECT u.event_id, u.ts, src_ip AS source_ip, 'Live: ' || domain || ' (' ||
     reason || ')' AS description FROM t_threats JOIN t_urls u USING (event_id) WHERE is_threat"""
-CTES["t_first"] = "SELECT source_ip, ts, min(event_id) AS event_id FROM t_alerts GROUP BY ALL"
-CTES["t_emitted"] = """
-    SELECT source_ip, min(ts) AS ts FROM t_first GROUP BY ALL
+# a state of one time per key, fed in the order of files, times and ids; rows behind the watermark are dropped on the way
+def throttled(name: str, rows: str, keys: str, id_col: str) -> None:
+    mine, on = (", ".join(f"e.{k}" for k in keys.split(", ")), " AND ".join(f"f.{k} = e.{k}" for k in keys.split(", ")))
+    CTES[f"{name}_due"] = on_time(f"SELECT a.*, nth FROM {rows} a JOIN t_files f ON f.event_id = a.{id_col}", "r.ts", "7 DAY")
+    sent = f"struct_pack(nth := {{0}}nth, ts := {{0}}ts, id := {{0}}{id_col})"
+    CTES[f"{name}_sent"] = f"""
+    SELECT {keys}, min({sent.format('')}) AS sent FROM {name}_due GROUP BY {keys}
     UNION ALL
-    SELECT f.source_ip, min(f.ts) FROM t_emitted e JOIN t_first f ON f.source_ip = e.source_ip
-      AND f.ts >= e.ts + INTERVAL 60 SECOND GROUP BY f.source_ip, e.ts"""
+    SELECT {mine}, min({sent.format('f.')}) FROM {name}_sent e JOIN {name}_due f ON {on}
+      AND f.nth >= e.sent.nth AND f.ts >= e.sent.ts + INTERVAL 60 SECOND GROUP BY {mine}, e.sent"""
 
 
-@query("stream_alert_throttle", """SELECT attempt_id FROM alert_attempts WHERE attempt_id IN
-    (SELECT attempt_id FROM m_passed)""")
+throttled("t_tries", "alert_attempts", "source_ip, alert_type", "attempt_id")
+throttled("t_flowing", "t_alerts", "source_ip", "event_id")
+
+
+@query("stream_alert_throttle", "SELECT sent.id AS attempt_id FROM t_tries_sent")
 def _(t):
     from linkguard.plans.views import view_sql
     # the attempts view, row by row over the stream
     body = view_sql("spark")["alert_attempts"]
     cols = body[body.index("SELECT") + 6:body.rindex("FROM events")]
-    event_stream(t, late=False).withColumn("ts", F.col("ts").cast("timestamp_ntz")).createOrReplaceTempView(
-        "_attempt_events")
+    event_stream(t).withColumn("ts", F.col("ts").cast("timestamp_ntz")).createOrReplaceTempView("_attempt_events")
     attempts = t.spark.sql(f"SELECT {cols} FROM _attempt_events").select(
         "attempt_id", "source_ip", "alert_type", F.col("ts").cast("timestamp").alias("ts"))
-    return S.alert_throttle(attempts, shared_folder(t.spark, "throttle"), "attempt_id").select("attempt_id")
+    return S.alert_throttle(attempts, shared_folder(t.spark, "throttle"), "attempt_id", watermark="7 days").select("attempt_id")
 
 
 @query("stream_threat_alerts", """SELECT event_id, source_ip, 'other' AS alert_type,
-    'high' AS severity, description FROM t_alerts WHERE event_id IN (SELECT event_id FROM t_emitted
-      JOIN t_first USING (source_ip, ts))""")
+    'high' AS severity, description FROM t_alerts WHERE event_id IN (SELECT sent.id FROM t_flowing_sent)""")
 def _(t):
-    return S.threat_alert_stream(flow_stream(t, late=False), shared_folder(t.spark, "threats")).drop("ts")
+    return S.threat_alert_stream(flow_stream(t), shared_folder(t.spark, "threats"), "7 days").drop("ts")
 
 
 @query("stream_ip_profile", f"""SELECT src_ip, count(*) AS request_count,

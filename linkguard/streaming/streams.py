@@ -1,10 +1,12 @@
 """Structured Streaming operators over flow and alert streams, on event time with a watermark.
 
-Functions take and return DataFrames; the stateless and windowed ones also run on batch input. A
-stream that keeps a table writes what each micro-batch adds, below the number of the batch, and the
-table is folded when it is read. A repeated batch overwrites its own rows, nothing else is
-rewritten, and all state lies in the given folder: started again on it, a stream goes on where it
-stopped. The folder must be shared by the driver and all executors.
+Functions take and return DataFrames; the stateless and windowed ones also run on batch input.
+First rows and throttling keep one value per key in the state store (see keyed.py), profiles and
+counts are streaming aggregates in update mode. A stream that keeps a table writes what each
+micro-batch adds or changes below the number of the batch (`deltas`); a repeated batch overwrites its
+own rows, and committed batches are folded into a base from time to time, so a reader meets a few
+folders however long the stream has run. All state lies in the given folder: started again on it, a
+stream goes on where it stopped. The folder must be shared by the driver and all executors.
 """
 
 from __future__ import annotations
@@ -15,7 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkguard import constants as C
 from linkguard.operators import alerts as A, rules as R, upserts as B
+from linkguard.shared import exists, folders, remove
 from linkguard.sources.flows import flow_normalize, flow_urls
+from linkguard.streaming import keyed
+
+#: Committed batch folders that are folded into a base together.
+FOLD_AFTER = 8
+#: log2 of the registers of a distinct-count sketch: at most 4 KB a key, relative error about 1.6 %.
+SKETCH_BITS = 12
 
 
 # --- plumbing ----------------------------------------------------------------------------------
@@ -33,27 +42,84 @@ def drain(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def deltas(stream: DataFrame, path: str, schema, reduce: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Write ``reduce(batch, earlier deltas)`` of each micro-batch; returns all deltas with their ``batch_id``."""
-    spark, folder = stream.sparkSession, f"{path}/deltas"
-    names = spark.createDataFrame([], schema).columns
+class DeltaTable:
+    """A table that grows by micro-batches: `base/upto=N` holds batches up to N folded, `deltas/batch_id=M` the later ones.
+
+    A base counts once its writer has marked it complete, and what it covers is ignored by name from then on and removed.
+    So a crash between any two steps leaves a readable table: an unfinished base is passed over and written again, batches
+    that were not removed are not counted twice. Batch M folds only batches before M, which are committed when M starts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, fold: Callable[[DataFrame], DataFrame] | None = None,
+                 fold_after: int | None = None):
+        self.spark, self.path, self.fold = spark, path, fold or (lambda df: df)
+        self.schema = spark.createDataFrame([], schema).schema
+        self.fold_after = fold_after or FOLD_AFTER
+
+    def _numbers(self, folder: str, name: str) -> list[int]:
+        return sorted(int(x.split("=")[1]) for x in folders(self.spark, f"{self.path}/{folder}") if x.startswith(f"{name}="))
+
+    def _base(self) -> int:
+        """The number of the newest complete base, -1 if there is none."""
+        done = [n for n in self._numbers("base", "upto") if exists(self.spark, f"{self.path}/base/upto={n}/_SUCCESS")]
+        return max(done, default=-1)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows of all batches, or of those before a number."""
+        base = self._base()
+        parts = [f"{self.path}/base/upto={base}"] if base >= 0 else []
+        parts += [f"{self.path}/deltas/batch_id={n}" for n in self._numbers("deltas", "batch_id")
+                  if n > base and (before is None or n < before)]
+        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/deltas/batch_id={batch_id}")
+        base = self._base()
+        done = [n for n in self._numbers("deltas", "batch_id") if base < n < batch_id]
+        if len(done) >= self.fold_after:
+            self.fold(self.read(batch_id)).select(*self.schema.names).write.mode("overwrite").parquet(
+                f"{self.path}/base/upto={done[-1]}")
+            base = done[-1]
+            for kind, name, keep in (("deltas", "batch_id", base + 1), ("base", "upto", base)):
+                for n in self._numbers(kind, name):
+                    if n < keep:
+                        remove(self.spark, f"{self.path}/{kind}/{name}={n}")
+
+
+def deltas(stream: DataFrame, path: str, schema, reduce: Callable[[DataFrame], DataFrame],
+           fold: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> DataFrame:
+    """Write ``reduce(batch)`` of each micro-batch to a DeltaTable; returns its rows. ``fold`` shortens rows of several
+    batches to fewer that give the same result; without it they are kept as they are, in one folder."""
+    table = DeltaTable(stream.sparkSession, path, schema, fold)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        table.write(reduce(batch), batch_id)
+
+    q = (stream.writeStream.foreachBatch(each).outputMode(mode)
+         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return table.read()
 
-    def before(batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("long"))
-        return table().where(F.col("batch_id") < batch_id)
 
-    def table() -> DataFrame:
-        return spark.read.schema(spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("long")).schema) \
-            .parquet(folder)
+def updates(totals: DataFrame, path: str, key: str) -> DataFrame:
+    """Run a streaming aggregate in update mode: each micro-batch leaves the rows that it changed, and a key's newest row
+    counts. Returns the current row of each key."""
+    rest = [c for c in totals.columns if c != key]
+    schema = totals.withColumn("version", F.lit(0).cast("long")).schema
+    spark = totals.sparkSession
+    table = DeltaTable(spark, path, schema, lambda df: _newest(df, key, [*rest, "version"]))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch, before(batch_id)).select(*names).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        table.write(batch.withColumn("version", F.lit(batch_id).cast("long")), batch_id)
 
-    q = (stream.writeStream.foreachBatch(each).outputMode("append")
+    q = (totals.writeStream.foreachBatch(each).outputMode("update")
          .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return table()
+    return _newest(table.read(), key, rest)
+
+
+def _newest(rows: DataFrame, key: str, rest: list[str]) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(key, "r.*")
 
 
 # --- operators ---------------------------------------------------------------------------------
@@ -68,55 +134,39 @@ def rate_window(flows: DataFrame, threshold: int = 50, window: str = "60 seconds
 
 
 def first_seen_domain(urls: DataFrame, path: str) -> DataFrame:
-    """The first event of each domain: the earliest of the micro-batch that brings it first. What
-    has been seen is the table of first events itself, so no state grows in memory."""
-    schema = "domain string, ts timestamp, event_id long"
-
-    def fresh(batch, seen):
-        first = batch.groupBy("domain").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-        return first.join(seen, "domain", "left_anti").select("domain", "f.ts", "f.event_id")
-    return deltas(urls, path, schema, fresh).drop("batch_id")
+    """The first event of each domain: the earliest of the micro-batch that brings it first. What has been seen is a flag per
+    domain in the state store, so a batch costs what it brings and nothing of the history is read again."""
+    return drain(keyed.first_rows(urls.select("domain", "ts", "event_id").where("domain IS NOT NULL"), "domain",
+                                  ["ts", "event_id"]), path)
 
 
-def first_seen_bounded(urls: DataFrame, delay: str) -> DataFrame:
-    """The first event of each domain, which is forgotten once the watermark has passed it."""
-    return urls.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["domain"])
+def alert_throttle(alerts: DataFrame, path: str, id_col: str, seconds: int = 60, ttl_seconds: int = 300,
+                   watermark: str = "10 minutes") -> DataFrame:
+    """Per (source_ip, alert_type): pass an alert when ``seconds`` have gone by since the last one that passed. Late alerts
+    pass only behind the last one; those behind the watermark are dropped."""
+    late = alerts.withWatermark("ts", watermark)
+    return drain(keyed.throttled(late, ["source_ip", "alert_type"], id_col, seconds, ttl_seconds), path)
 
 
-def alert_throttle(alerts: DataFrame, path: str, id_col: str, seconds: int = 60, ttl_seconds: int = 300) -> DataFrame:
-    """Per (source_ip, alert_type): pass an alert when ``seconds`` have gone by since the last one
-    that passed. Alerts too close to a key's last passed one are dropped first; the rest goes
-    through the batch fold, which spreads a hot key over its time chunks. Only passed alerts of
-    the last ``ttl_seconds`` before the batch are looked at."""
-    keys = ["source_ip", "alert_type"]
-
-    def passed(batch, earlier):
-        since = batch.agg((F.min("ts") - F.expr(f"INTERVAL {max(ttl_seconds, seconds)} SECOND")).alias("since"))
-        last = earlier.join(F.broadcast(since), F.col("ts") >= F.col("since")).groupBy(*keys).agg(F.max("ts").alias("last"))
-        free = batch.join(last, keys, "left").where(
-            F.col("last").isNull() | (F.col("ts") >= F.col("last") + F.expr(f"INTERVAL {seconds} SECOND"))).drop("last")
-        return A.alert_throttle(free, seconds, id_col).where("emitted").drop("emitted")
-    return deltas(alerts, path, alerts.schema, passed).drop("batch_id")
+def profile_totals(flows: DataFrame) -> DataFrame:
+    """Running totals per source, as a streaming (or batch) aggregate. The distinct destinations are a mergeable sketch, so a
+    source's state is bounded however many it visits; the other numbers are exact."""
+    return flow_normalize(flows).groupBy("src_ip").agg(
+        F.count("*").alias("request_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.hll_sketch_agg("dst_ip", SKETCH_BITS).alias("destination_sketch"),
+        F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"), F.sum("size").alias("total_bytes"))
 
 
 def ip_profile(flows: DataFrame, path: str) -> DataFrame:
-    """Running per-source totals, with exact distinct counts: batches leave sums per source,
-    destination and protocol, which are summed again when the profile is read."""
-    schema = "src_ip string, dst_ip string, protocol string, n long, first_seen timestamp, last_seen timestamp, bytes long"
-
-    def sums(batch, _):
-        return flow_normalize(batch).groupBy("src_ip", "dst_ip", "protocol").agg(
-            F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum("size").alias("bytes"))
-    return deltas(flows, path, schema, sums).groupBy("src_ip").agg(
-        F.sum("n").alias("request_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.countDistinct("dst_ip").alias("destinations"),
-        F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"), F.sum("bytes").alias("total_bytes"))
+    """The current profile of each source after a run in update mode."""
+    return updates(profile_totals(flows), path, "src_ip").select(
+        "src_ip", "request_count", "first_seen", "last_seen",
+        F.hll_sketch_estimate("destination_sketch").alias("destinations"), "protocols", "total_bytes")
 
 
 def url_counts(urls: DataFrame, path: str) -> DataFrame:
-    def counts(batch, _):
-        return batch.groupBy("url").agg(F.count("*").alias("n"))
-    return deltas(urls, path, "url string, n long", counts).groupBy("url").agg(F.sum("n").alias("n"))
+    """Visits per URL, counted in update mode."""
+    return updates(urls.groupBy("url").agg(F.count("*").alias("n")), path, "url")
 
 
 def threat_alerts(flows: DataFrame) -> DataFrame:
@@ -128,16 +178,16 @@ def threat_alerts(flows: DataFrame) -> DataFrame:
                      .alias("description"))
 
 
-def threat_alert_stream(flows: DataFrame, path: str) -> DataFrame:
+def threat_alert_stream(flows: DataFrame, path: str, watermark: str = "10 minutes") -> DataFrame:
     """Threat alerts throttled per source, then coerced to the stored types."""
-    return A.coerce_alert(alert_throttle(threat_alerts(flows), path, "event_id"))
+    return A.coerce_alert(alert_throttle(threat_alerts(flows), path, "event_id", watermark=watermark))
 
 
 def recent_rows(stream: DataFrame, path: str, n: int) -> DataFrame:
     """The newest ``n`` rows: each batch keeps its newest, and so does the reader."""
-    def newest(df, _=None):
+    def newest(df):
         return df.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
-    return newest(deltas(stream, path, stream.schema, newest)).drop("batch_id")
+    return newest(deltas(stream, path, stream.schema, newest, newest))
 
 
 def url_rows(urls: DataFrame) -> DataFrame:
@@ -155,16 +205,16 @@ def url_sink(urls: DataFrame, path: str, stored: DataFrame, as_of: str) -> DataF
     rows = url_rows(urls)
     rest = [c for c in rows.columns if c != "full_url"]
 
-    def last(batch, _):
+    def last(batch):
         return batch.groupBy("full_url").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("full_url", "r.*")
-    return B.url_upsert(stored, deltas(rows, path, rows.schema, last).drop("batch_id"), as_of)
+    return B.url_upsert(stored, deltas(rows, path, rows.schema, last, last), as_of)
 
 
 def ip_touch(flows: DataFrame, path: str, stored: DataFrame, as_of: str) -> DataFrame:
     """The address table after one touch per source and micro-batch, as a capture flush does."""
-    def touched(batch, _):
+    def touched(batch):
         return batch.groupBy(F.col("src_ip").alias("ip_address")).agg(F.min("event_id").alias("seq"))
-    rows = deltas(flows, path, "ip_address string, seq long", touched).drop("batch_id")
+    rows = deltas(flows, path, "ip_address string, seq long", touched)
     return B.ip_upsert(stored, rows.withColumn("ip_version", F.lit("IPv4")), as_of)
 
 
