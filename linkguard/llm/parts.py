@@ -48,6 +48,11 @@ def pack(docs: DataFrame, part_bytes: int = PART_BYTES, whole_rows: bool = False
                        *([F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"),
                           F.col("text").isNull().alias("no_text")] if whole_rows else []))
 
+    return gather(rows, part_bytes, "parts")
+
+
+def gather(rows: DataFrame, part_bytes: int, name: str) -> DataFrame:
+    """Staged table of parts of rows: part, bytes, blob. The second column (text or binary) is what is measured."""
     def cut(batches):
         task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -73,7 +78,7 @@ def pack(docs: DataFrame, part_bytes: int = PART_BYTES, whole_rows: bool = False
         if held:
             yield flush()
 
-    return stage(rows.mapInArrow(cut, "part long, bytes long, blob binary"), "parts")
+    return stage(rows.mapInArrow(cut, "part long, bytes long, blob binary"), name)
 
 
 def in_order(blob: bytes) -> pa.Table:
