@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(col):
     """A-Z to a-z, nothing else."""
     return F.translate(col, UPPER, LOWER)
+
+
+def slices(texts: pa.Array, limit: int):
+    """(from, to) of neighbouring texts with at most `limit` bytes, or of one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        before = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield lo, hi
+        lo = hi

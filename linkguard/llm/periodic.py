@@ -23,11 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
+from .common import slices
 
 #: Fewest words of a run.
 MIN_LENGTH = 12
@@ -37,17 +37,6 @@ SLICE_BYTES = 2 << 20
 ROUNDS = 3
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES):
-    """(from, to) of neighbouring texts with at most `limit` bytes, or of one longer text."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(size):
-        before = size[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, before + limit, side="right")))
-        yield lo, hi
-        lo = hi
-
-
 def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """A number per word (equal words have equal ones), the first word of each text and the end, and the words by number."""
     buf, offs = texthash.joined(texts)
@@ -253,7 +242,7 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
 
 def _each(texts: pa.Array, least: int):
     """Per text: number of words, runs, kept words joined by single spaces."""
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, SLICE_BYTES):
         part = texts.slice(lo, hi - lo)
         word, first, _ = numbered(part)
         for i, runs in enumerate(find_runs(word, first, least)):

@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 from linkguard.functions.trees import node_table
 
 from . import texthash
-from .common import stage
-from .periodic import slices
+from .common import slices, stage
 
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 40_000
 ROUNDS, DEPTH, STEP, BINS = 30, 5, 0.2, 64
 #: Documents with a score of at least this are good.
 THRESHOLD = 0.3
+#: Bytes of text that are measured together.
+SLICE_BYTES = 2 << 20
 #: Words of a stretch.
 STRETCH = 64
 
@@ -152,7 +153,7 @@ def table_of_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, stats (array of float) of each row."""
     def measure(batches):
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), SLICE_BYTES):
                 s = statistics(b.column(1).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(s.ravel(), len(NAMES)).cast(
@@ -251,7 +252,7 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Da
 
     def apply(batches):
         for b in batches:
-            for lo, hi in slices(b.column(at)):
+            for lo, hi in slices(b.column(at), SLICE_BYTES):
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(shared.value.score(statistics(part.column(at))) >= threshold))
 

@@ -1,11 +1,15 @@
 """Word boundaries and rolling hashes over many texts at once, in numpy.
 
-Texts lie in one byte buffer, each followed by a line feed. Hashes are polynomials modulo 2**64 over random byte or word
-values, finished by a bit mixer. Two seeds give independent hashes.
+Texts lie in one byte buffer, each followed by a line feed. A word's hash takes its bytes eight at a time through a bit mixer,
+so no pattern of letters cancels out. Hashes of windows are polynomials modulo 2**64 over word hashes, and those of byte ranges
+over random byte values, finished by the mixer; they serve windows of few words and what is compared byte by byte afterwards.
+Two seeds give independent hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +20,8 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = [np.random.RandomState(11 + i).randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2 * i + 3)
           for i in range(2)]
 _POWERS: dict[int, np.ndarray] = {}
-#: Bytes of text whose running sums are held at once.
-STRETCH = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -75,15 +79,21 @@ def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of each word, a stretch of the buffer at a time: sums take eight bytes for each byte of text."""
-    out = np.zeros(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        lo = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, lo + STRETCH, side="right")))
-        sums = byte_sums(buf[lo:end[j - 1]], seed)
-        out[i:j] = slice_hashes(sums, start[i:j] - lo, end[i:j] - lo, seed)
-        i = j
+    """A hash of each word: its length, then eight bytes after the other, go through the mixer."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(_ODD[seed]))
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # at each byte
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        unused = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
+        out[live] = mix((out[live] ^ (eight[start[live] + done] << unused)) + np.uint64(_ODD[1 - seed]))
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=8, key=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
     return out
 
 
