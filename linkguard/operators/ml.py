@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkguard import constants as C
 from linkguard.functions.sqlutil import add, lit
+from linkguard.functions.trees import contributions
 
 
 # --- preparation -------------------------------------------------------------------------------
@@ -93,23 +94,37 @@ def anova_f(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:
 
 
 def select_top(scores: DataFrame, col: str, k: int = 30) -> list[str]:
-    return [r.feature for r in scores.orderBy(F.desc_nulls_last(col), "feature").limit(k).collect()]
-
-
-def mutual_information(df: DataFrame, cols: list[str], label: str = "label",
-                       bins: int = 10) -> DataFrame:
-    """Mutual information with the label over equal-width bins (in nats). Counts are combined per
-    task before the shuffle, which carries at most features x bins x classes rows each."""
-    lim = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
-                 *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
-
-    def bin_of(c):
-        lo, hi = float(lim[f"lo_{c}"]), float(lim[f"hi_{c}"])
-        if hi <= lo:
-            return "0"
-        return (f"least(cast(floor((cast({c} as double) - {lo!r}D) / {hi - lo!r}D * {bins}) "
-                f"as int), {bins - 1})")
-    pairs = ", ".join(f"named_struct('feature', '{c}', 'bin', {bin_of(c)})" for c in cols)
+    """The k best features; ties by name."""
+    return [r.feature for r in scores.orderBy(F.desc_nulls_last(F.round(col, 4)), "feature").limit(k).collect()]
+
+
+def equal_width_bin(c: str, lo: float, hi: float, bins: int) -> str:
+    """SQL: the bin of a column between its least and largest value."""
+    if hi <= lo:
+        return "0"
+    return f"least(cast(floor((cast({c} as double) - {lo!r}D) / {hi - lo!r}D * {bins}) as int), {bins - 1})"
+
+
+def quantile_bin(c: str, limits: list[float]) -> str:
+    """SQL: how many of the limits lie below the value, so equal values share a bin."""
+    return " + ".join(f"int(cast({c} as double) > {x!r}D)" for x in sorted(set(limits))) or "0"
+
+
+def mutual_information(df: DataFrame, cols: list[str], label: str = "label", bins: int = 10,
+                       quantiles: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Mutual information with the label (in nats) over bins of equal width or between quantiles.
+
+    Quantiles come from mergeable sketches, one for each column in one pass, with a rank error of at
+    most 1 / accuracy. Counts are combined per task before the shuffle, which carries at most
+    features x bins x classes rows each."""
+    if quantiles:
+        at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+        lim = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, accuracy).alias(c) for c in cols]).first()
+        bin_of = {c: quantile_bin(c, [float(x) for x in lim[c] or ()]) for c in cols}
+    else:
+        lim = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+        bin_of = {c: equal_width_bin(c, float(lim[f"lo_{c}"]), float(lim[f"hi_{c}"]), bins) for c in cols}
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'bin', {bin_of[c]})" for c in cols)
     n = df.select(label, F.explode(F.expr(f"array({pairs})")).alias("p")).groupBy(
         "p.feature", "p.bin", label).agg(F.count("*").cast("double").alias("c"))
     w = Window.partitionBy("feature")
@@ -120,6 +135,15 @@ def mutual_information(df: DataFrame, cols: list[str], label: str = "label",
         "feature").agg(F.sum("term").alias("mutual_info"))
 
 
+def best_columns(df: DataFrame, cols: list[str], k: int, by: str = "anova") -> list[str]:
+    """The k columns with the largest ANOVA F or mutual information, in the order of ``cols``."""
+    if by == "anova":
+        names = select_top(anova_f(df, cols), "f_value", k)
+    else:
+        names = select_top(mutual_information(df, cols, quantiles=True), "mutual_info", k)
+    return [c for c in cols if c in set(names)]
+
+
 def rf_importance(train: DataFrame, cols: list[str], trees: int = 200, seed: int = 42) -> list:
     model = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="label").fit(
         assemble(cols).transform(train))
@@ -159,23 +183,49 @@ def trainers(n_features: int, trees: int = 200, boost_rounds: int = 200, epochs:
         "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=15, minInstancesPerNode=4,
                                                 weightCol="weight", seed=42),
         # three boosting trainers: depth 8 on plain rows, depth 10 and 15 on balanced ones
-        "gradient_boosting": GBTClassifier(maxIter=boost_rounds, maxDepth=8, stepSize=0.1, seed=42),
-        "boosting_depth_10": GBTClassifier(maxIter=boost_rounds, maxDepth=10, stepSize=0.1,
-                                           weightCol="weight", seed=42),
-        "boosting_depth_15": GBTClassifier(maxIter=boost_rounds, maxDepth=15, stepSize=0.1,
-                                           weightCol="weight", seed=42),
+        "gradient_boosting": GBTClassifier(maxIter=boost_rounds, maxDepth=8, stepSize=0.1, seed=42,
+                                           validationIndicatorCol="is_validation"),
+        "boosting_depth_10": GBTClassifier(maxIter=boost_rounds, maxDepth=10, stepSize=0.1, seed=42,
+                                           weightCol="weight", validationIndicatorCol="is_validation"),
+        "boosting_depth_15": GBTClassifier(maxIter=boost_rounds, maxDepth=15, stepSize=0.1, seed=42,
+                                           weightCol="weight", validationIndicatorCol="is_validation"),
         "logistic_regression": LogisticRegression(maxIter=1000, weightCol="weight"),
         "neural_network": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 32, 2],
                                                          maxIter=epochs, blockSize=32, seed=42),
     }
 
 
-def train(name: str, data: DataFrame, cols: list[str], scale: bool | None = None,
-          **sizes) -> PipelineModel:
-    """Fit one estimator; features are standardised for the linear and neural models."""
+VALIDATION_PERCENT = 10
+
+
+def train(name: str, data: DataFrame, cols: list[str], scale: bool | None = None, select: int | None = None,
+          select_by: str = "anova", **sizes) -> PipelineModel:
+    """Fit one estimator; features are standardised for the linear and neural models.
+
+    With ``select`` only the best columns of the training side enter, and the model names them
+    (``model_columns``). Boosting holds back a tenth of the rows, equal feature rows together, and
+    stops when a round no longer lowers their loss, so the number of rounds is an upper limit."""
+    if select:
+        cols = best_columns(data, cols, select, select_by)
     scale = name in ("logistic_regression", "neural_network") if scale is None else scale
     front = scaler(cols).getStages() if scale else [assemble(cols)]
-    return Pipeline(stages=[*front, trainers(len(cols), **sizes)[name]]).fit(balanced_weights(data))
+    rows = balanced_weights(data)
+    if "boosting" in name:
+        rows = rows.withColumn("is_validation", F.pmod(F.xxhash64(*cols), F.lit(100)) < VALIDATION_PERCENT)
+    return Pipeline(stages=[*front, trainers(len(cols), **sizes)[name]]).fit(rows)
+
+
+def model_columns(model: PipelineModel) -> list[str]:
+    """The columns that a fitted model reads."""
+    return model.stages[0].getInputCols()
+
+
+def explain_trees(model: PipelineModel, df: DataFrame, k: int = 5) -> tuple[float, DataFrame]:
+    """Base value, and df with the model's ``probability``, its ``parts`` (one per column of the model) and the ``k`` largest
+    as ``top_features``, from the paths through a fitted tree ensemble."""
+    cols = model_columns(model)
+    base, rows = contributions(model.stages[-1], df, cols, df.columns)
+    return base, explain(rows, {c: f"parts[{i}]" for i, c in enumerate(cols)}, k)
 
 
 def probability(model: PipelineModel, df: DataFrame, keep=("url_id", "label")) -> DataFrame:
@@ -355,22 +405,13 @@ def explain_global(features: DataFrame, impacts: dict[str, str], k: int = 10) ->
 
 
 def narrative(explained: DataFrame, n_risk: int = 4, n_safe: int = 3) -> DataFrame:
-    """Text from ``prediction``, ``confidence`` and ``top_features``, with the first ``n_risk`` or
-    ``n_safe`` of them."""
-    pct = "concat(cast(round(confidence * 100) as bigint), '%')"
-
-    def lines(direction, n, sign):
-        return (f"transform(slice(filter(top_features, f -> f.direction = '{direction}'), 1, {n}), "
-                f"(f, i) -> concat(i + 1, '. **', f.description, '** — ', f.reason, ' ({sign}', "
-                "format_string('%.1f', round(abs(f.impact) * 100, 1)), '%)'))")
-    risk, safe = lines("increases_risk", n_risk, "+"), lines("decreases_risk", n_safe, "-")
-    return add(explained, narrative=f"""CASE
-        WHEN size(top_features) = 0 THEN
-          concat('Prediction: ', upper(prediction), ' with ', {pct}, ' confidence.')
-        WHEN prediction = 'malicious' THEN array_join(concat(array(concat(
-          '🚨 This URL was flagged as **MALICIOUS** (', {pct}, ' confidence).'), '',
-          '**Top contributing factors:**'), {risk}), '\\n')
-        ELSE array_join(concat(array(concat('✅ This URL appears **BENIGN** (', {pct},
-          ' confidence).'), ''), CASE WHEN exists(top_features, f -> f.direction =
-          'decreases_risk') THEN concat(array('**Reasons it looks safe:**'), {safe})
-          ELSE cast(array() as array<string>) END), '\\n') END""")
+    """A sentence from ``prediction``, ``confidence`` and ``top_features``, with the first ``n_risk``
+    features that raise the score and the first ``n_safe`` that lower it."""
+    def part(direction, n, words):
+        chosen = f"slice(filter(top_features, f -> f.direction = '{direction}'), 1, {n})"
+        each = "concat(f.description, ' by ', format_string('%.1f', round(abs(f.impact) * 100, 1)))"
+        return (f"CASE WHEN exists(top_features, f -> f.direction = '{direction}') THEN concat(' {words}: ', "
+                f"array_join(transform({chosen}, f -> {each}), '; '), '.') ELSE '' END")
+    return add(explained, narrative=f"""concat('Verdict ', prediction, ', certainty ',
+        cast(round(confidence * 100) as bigint), ' of 100.', {part('increases_risk', n_risk, 'Raising the score')},
+        {part('decreases_risk', n_safe, 'Lowering it')})""")

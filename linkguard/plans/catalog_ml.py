@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from linkguard.functions.sqlutil import items
+from linkguard.functions.trees import contributions
 from linkguard.operators import ml as M, normalize as N, url_features as U
 from linkguard.plans import scan as S
 from linkguard.plans.oracle_ctes import CTES, fuse_ctes, half_up
@@ -76,13 +77,16 @@ def training_side(t: Tables) -> DataFrame:
 
 
 
-@query("ml_select_anova", f"""SELECT feature, CASE WHEN within > 1e-9 THEN
+ANOVA = f"""SELECT feature, CASE WHEN within > 1e-9 THEN
     round((between / (k - 1)) / (within / (n - k)), 4) END AS f_value FROM (
       SELECT feature, sum(n) AS n, count(*) AS k, sum(n * (m - g) * (m - g)) AS between,
         sum(v * n) AS within FROM (
           SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v,
             any_value(g) AS g FROM (SELECT *, avg(x) OVER (PARTITION BY feature) AS g
-              FROM ({_STATS})) GROUP BY 1, 2) GROUP BY 1)""")
+              FROM ({_STATS})) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("ml_select_anova", ANOVA)
 def _(t):
     df = M.anova_f(training_side(t), FEATS)
     return df.select("feature", F.round("f_value", 4).alias("f_value"))
@@ -101,12 +105,41 @@ def _(t):
         "feature", F.round("mutual_info", 6).alias("mutual_info"))
 
 
+_LIMITS = ", ".join(f"quantile_disc(x, {i / 10}) AS q{i}" for i in range(1, 10))
+_BELOW = "len(list_filter(list_distinct([" + ", ".join(f"q{i}" for i in range(1, 10)) + "]), lambda q: x > q))"
+
+
+@query("ml_select_mutual_info_quantiles", f"""SELECT feature, round(sum(c / t * ln(c * t / (px * py))), 6)
+      AS mutual_info FROM (
+    SELECT *, sum(c) OVER (PARTITION BY feature) AS t, sum(c) OVER (PARTITION BY feature, bin) AS px,
+      sum(c) OVER (PARTITION BY feature, label) AS py FROM (
+      SELECT feature, label, {_BELOW} AS bin, count(*)::DOUBLE AS c
+      FROM ({_STATS}) JOIN (SELECT feature, {_LIMITS} FROM ({_STATS}) GROUP BY 1) USING (feature) GROUP BY ALL)) GROUP BY 1""")
+def _(t):
+    return M.mutual_information(training_side(t), FEATS, quantiles=True).select(
+        "feature", F.round("mutual_info", 6).alias("mutual_info"))
+
+
+#: Columns that the selecting trainer keeps.
+TOP = 20
+
+
+@query("ml_select_train", f"""SELECT feature FROM ({ANOVA}) ORDER BY f_value DESC NULLS LAST, feature LIMIT {TOP}""")
+def _(t):
+    """The columns of a stored model that was trained on the best ones, as read back."""
+    path = shared_folder(t.spark, "models")
+    model = M.train("random_forest", sides(t)[0], FEATS, select=TOP, trees=20)
+    M.save_model(t.spark, model, "random_forest", path, "1", M.model_columns(model), FEATS)
+    again, meta = M.latest_model(t.spark, path)
+    names = [c for c in M.model_columns(again) if c in meta["selected_features"]]
+    return t.spark.createDataFrame([(c,) for c in names], "feature string")
+
+
 # --- training on all URL features -----------------------------------------------------------------
 # What a fitted model says has no SQL counterpart. The queries report facts about it that have one: rows scored, whether the
 # confusion matrix accounts for all of them, whether metrics agree with those computed from the scores anew, whether scores
 # are probabilities, and whether the model is better than a floor.
-#: Boosting is sequential; the check runs fewer rounds than the default, everything else as it is.
-SIZES = {"boost_rounds": 15}
+# All trainers run with their full settings; boosting stops by itself on rows that it holds back.
 FLOOR = 0.9
 
 
@@ -129,14 +162,14 @@ def _(t):
 
 
 @query("ml_scale_rows", "SELECT url_id, " + ", ".join(
-    f"round(CASE WHEN s_{c} > 0 THEN (p.{c} - m_{c}) / s_{c} ELSE 0 END, 4)::DOUBLE AS {c}" for c in FEATS[:8])
-    + " FROM p_split p, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in FEATS[:8])
+    f"round(CASE WHEN s_{c} > 0 THEN (p.{c} - m_{c}) / s_{c} ELSE 0 END, 4)::DOUBLE AS {c}" for c in FEATS)
+    + " FROM p_split p, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in FEATS)
     + " FROM p_split WHERE NOT is_test) WHERE is_test")
 def _(t):
     from pyspark.ml.functions import vector_to_array
     tr, te = sides(t)
     out = M.scaler(FEATS).fit(tr).transform(te).select("url_id", vector_to_array("features").alias("f"))
-    return out.select("url_id", *[F.round(F.col("f")[i], 4).alias(c) for i, c in enumerate(FEATS[:8])])
+    return out.select("url_id", *[F.round(F.col("f")[i], 4).alias(c) for i, c in enumerate(FEATS)])
 
 
 def picked(t: Tables, names: list[str], most: int) -> DataFrame:
@@ -147,12 +180,12 @@ def picked(t: Tables, names: list[str], most: int) -> DataFrame:
 
 @query("ml_select_rf_importance", "SELECT true AS known, true AS distinct_names, true AS right_size")
 def _(t):
-    return picked(t, M.select_rf(sides(t)[0], FEATS, trees=50), len(FEATS) - 1)
+    return picked(t, M.select_rf(sides(t)[0], FEATS), len(FEATS) - 1)
 
 
 @query("ml_select_rfe", "SELECT true AS known, true AS distinct_names, true AS right_size")
 def _(t):
-    names = M.select_rfe(sides(t)[0], FEATS, n=30, step=11, trees=20)
+    names = M.select_rfe(sides(t)[0], FEATS)
     return picked(t, names if len(names) == 30 else [], 30)
 
 
@@ -178,7 +211,7 @@ def scored(t: Tables, *names: str) -> DataFrame:
     tr, te = sides(t)
     path = shared_folder(t.spark, "scores")
     for n in names:
-        M.probability(M.train(n, tr, FEATS, **SIZES), te).withColumn("model_name", F.lit(n)).write.mode("append").parquet(path)
+        M.probability(M.train(n, tr, FEATS), te).withColumn("model_name", F.lit(n)).write.mode("append").parquet(path)
     return t.spark.read.parquet(path)
 
 
@@ -190,6 +223,15 @@ for _key, _model in [("ml_train_rf", "random_forest"), ("ml_train_gbt", "gradien
         return facts(scored(t, _model))
 
 
+BOOSTERS = ("gradient_boosting", "boosting_depth_10", "boosting_depth_15")
+
+
+@query("ml_train_boosting", facts_sql(*BOOSTERS))
+def _(t):
+    """The three boosting trainers, each with early stopping."""
+    return facts(scored(t, *BOOSTERS))
+
+
 VOTERS = ("random_forest", "gradient_boosting", "logistic_regression")
 
 
@@ -197,7 +239,7 @@ VOTERS = ("random_forest", "gradient_boosting", "logistic_regression")
 def _(t):
     """The network does not vote."""
     tr, te = sides(t)
-    models = {n: M.train(n, tr, FEATS, **SIZES) for n in VOTERS}
+    models = {n: M.train(n, tr, FEATS) for n in VOTERS}
     path = shared_folder(t.spark, "votes")
     M.vote(models, te).withColumn("model_name", F.lit("vote")).write.parquet(path)
     return facts(t.spark.read.parquet(path))
@@ -212,12 +254,34 @@ def _(t):
     return top.selectExpr("models", "best", "b = m AS in_order", "place_sum")
 
 
-@query("ml_predict", """SELECT url_id, true AS right_class, true AS right_confidence FROM p_split WHERE is_test""")
+@query("ml_predict", """SELECT url_id, true AS right_score, true AS right_class FROM p_split WHERE is_test""")
 def _(t):
-    return M.classify(scored(t, "random_forest")).selectExpr(
-        "url_id", "predicted_class = CASE WHEN probability > 0.7 THEN 'malicious' WHEN probability < 0.3 THEN 'benign' "
-                  "ELSE 'suspicious' END AS right_class",
-        "confidence BETWEEN 0.3 AND 1 AND (predicted_class <> 'benign' OR confidence > 0.7) AS right_confidence")
+    """Scores and classes of a forest against those from walking its exported nodes."""
+    tr, te = sides(t)
+    model = M.train("random_forest", tr, FEATS)
+    _, walked = contributions(model.stages[-1], te, FEATS, ["url_id"])
+    mine = M.classify(walked.drop("parts")).selectExpr("url_id", "probability AS walked", "predicted_class AS walked_class")
+    return M.classify(M.probability(model, te, ("url_id",))).join(mine, "url_id").selectExpr(
+        "url_id", "abs(probability - walked) < 1e-9 AS right_score", "predicted_class = walked_class AS right_class")
+
+
+@query("ml_explain_trees", """SELECT 'boosted' AS kind, url_id, true AS adds_up, 5 AS places FROM p_split WHERE is_test
+    UNION ALL SELECT 'forest', url_id, true, 5 FROM p_split WHERE is_test""")
+def _(t):
+    """Contributions along the paths of fitted trees: with the base they add up to the model's own score."""
+    tr, te = sides(t)
+    out = None
+    for kind, name in (("boosted", "gradient_boosting"), ("forest", "random_forest")):
+        model = M.train(name, tr, FEATS)
+        base, rows = M.explain_trees(model, te.select("url_id", *FEATS))
+        total = f"aggregate(parts, {base!r}D, (s, x) -> s + x)"
+        score = f"1 / (1 + exp(-2 * {total}))" if kind == "boosted" else total
+        own = M.probability(model, te, ("url_id",)).withColumnRenamed("probability", "own")
+        rows = rows.join(own, "url_id").selectExpr(
+            f"'{kind}' AS kind", "url_id", f"abs({score} - own) < 1e-9 AND abs(probability - own) < 1e-9 AS adds_up",
+            "size(top_features) AS places")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("ml_model_store", """SELECT '2' AS version, count(*) AS rows, 0.0::DOUBLE AS difference FROM p_split WHERE is_test""")
@@ -375,25 +439,16 @@ def _(t):
         "importance", F.round("importance", 6))
 
 
-_line = ("list_transform(list_filter(top, lambda e: {0}), lambda e: '. **' || e.description || "
-         "'** — ' || e.reason || ' ({1}' || printf('%.1f', round(abs(e.impact) * 100, 1)) || '%)')")
-
-
-def _numbered(cond: str, sign: str, n: int) -> str:
-    return (f"array_to_string(list_transform(range(1, least(len({_line.format(cond, sign)}), {n}) "
-            f"+ 1), lambda i: i || {_line.format(cond, sign)}[i]), chr(10))")
+def _part_sql(cond: str, n: int, words: str) -> str:
+    chosen = f"list_filter(top, lambda e: {cond})[1:{n}]"
+    each = "e.description || ' by ' || printf('%.1f', round(abs(e.impact) * 100, 1))"
+    return (f"CASE WHEN len(list_filter(top, lambda e: {cond})) > 0 THEN ' {words}: ' || "
+            f"array_to_string(list_transform({chosen}, lambda e: {each}), '; ') || '.' ELSE '' END")
 
 
-@query("ml_narrative", f"""SELECT url_id, CASE WHEN prediction = 'malicious' THEN
-      '🚨 This URL was flagged as **MALICIOUS** (' || cast(round(confidence * 100) AS BIGINT) ||
-      '% confidence).' || chr(10) || chr(10) || '**Top contributing factors:**' ||
-      CASE WHEN len(list_filter(top, lambda e: e.impact > 0)) > 0 THEN chr(10) ||
-        {_numbered('e.impact > 0', '+', 4)} ELSE '' END
-    ELSE '✅ This URL appears **BENIGN** (' || cast(round(confidence * 100) AS BIGINT) ||
-      '% confidence).' || chr(10) || CASE WHEN len(list_filter(top, lambda e: e.impact <= 0)) > 0
-      THEN chr(10) || '**Reasons it looks safe:**' || chr(10) ||
-        {_numbered('e.impact <= 0', '-', 3)} ELSE '' END END AS narrative
-    FROM p_linear JOIN s_fused USING (url_id)""")
+@query("ml_narrative", f"""SELECT url_id, 'Verdict ' || prediction || ', certainty ' || cast(round(confidence * 100) AS BIGINT)
+      || ' of 100.' || {_part_sql('e.impact > 0', 4, 'Raising the score')} || {_part_sql('e.impact <= 0', 3, 'Lowering it')}
+      AS narrative FROM p_linear JOIN s_fused USING (url_id)""")
 def _(t):
     top = M.explain(features(t), M.linear_impacts(COEFS)).select("url_id", "top_features")
     verdicts = S.scan_batch(t.url_corpus).select("url_id", "prediction", "confidence")
