@@ -35,9 +35,12 @@ def feature_table(urls: DataFrame, dns, whois, table, threats, alerts, abuse, ge
     geo country flag; ``compat`` folds that flag into ``country_risk``).
 
     DNS, WHOIS and IP features are built once per distinct domain / address and joined by key, so
-    a domain shared by many URLs is looked up once.
+    a domain shared by many URLs is looked up once. A URL without a parsable host takes host, path and
+    tld from its own row, where ``urls`` has them.
     """
-    rows = urls.where("full_url <> '' AND domain <> ''").select("url_id", "full_url", "domain")
+    rows = urls.where("full_url <> '' AND domain <> ''").select(
+        "url_id", "full_url", "domain", F.col("domain").alias("rec_domain"),
+        *[(F.col(c) if c in urls.columns else F.lit(None).cast("string")).alias(f"rec_{c}") for c in ("path", "tld")])
     doms = rows.select("domain").distinct()
     dom = E.resolve(E.whois_features(E.dns_features(doms, E.dns_by_domain(dns)),
                                      E.whois_by_domain(whois, as_of)), dns)
@@ -45,7 +48,8 @@ def feature_table(urls: DataFrame, dns, whois, table, threats, alerts, abuse, ge
     dom = staged(dom, "domains")
     dom = dom.join(ip_side(dom, table, threats, alerts, abuse, geo, traffic, as_of),
                    "ip_address", "left").drop("ip_address")
-    feats = U.url_features(N.url_normalize(rows, keep=["domain"]), keep=["domain"])
+    norm = U.fallback_row(N.url_normalize(rows, keep=["domain", *U.RECORD]))
+    feats = U.url_features(norm, keep=["domain"])
     df = feats.join(dom, "domain", "left")
     df = df.select("url_id", "domain", *[F.coalesce(c, F.lit(0)).alias(c) for c in FEATURES])
     if compat:

@@ -97,11 +97,18 @@ def diversity(df: DataFrame) -> DataFrame:
                                      "cast(greatest(length(raw_url), 1) as double), 4)")
 
 
+RECORD = ["rec_domain", "rec_path", "rec_tld"]
+
+
 def fallback(norm: DataFrame, url_record: DataFrame) -> DataFrame:
     """URLs without a parsable host take host, path and tld from the stored URL record."""
     rec = url_record.selectExpr("url_id", "domain AS rec_domain", "path AS rec_path",
                                 "tld AS rec_tld")
-    df = norm.join(rec, "url_id", "left")
+    return fallback_row(norm.join(rec, "url_id", "left"))
+
+
+def fallback_row(df: DataFrame) -> DataFrame:
+    """The same on rows that carry their record as ``RECORD`` columns: no join."""
     df = add(df, miss="hostname = ''",
              raw_scheme="regexp_extract(raw_url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)",
              raw_netloc="regexp_extract(raw_url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 2)",
