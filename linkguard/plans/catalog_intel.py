@@ -728,7 +728,8 @@ CTES["s_full_signals"] = """SELECT s.* EXCLUDE (ip_score, domain_score, threat_s
     CASE WHEN highest_risk > 0 THEN greatest(coalesce(e.domain_score, 0), highest_risk)
       ELSE e.domain_score END::DOUBLE AS domain_score
     FROM s_signals s LEFT JOIN (SELECT domain, i.* FROM e_resolved JOIN h_intel i USING (ip_address))
-      x ON x.domain = s.registered_domain LEFT JOIN e_score e ON e.domain = s.registered_domain"""
+      x ON x.domain = s.registered_domain AND x.domain <> '' LEFT JOIN e_score e ON e.domain = s.registered_domain
+      AND e.domain <> ''"""
 CTES |= fuse_ctes("sf_", "s_full_signals")
 
 
