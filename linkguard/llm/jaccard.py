@@ -42,8 +42,8 @@ from .common import stage
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Classes per block of a group, and queries that are compared with a block in one task.
-BLOCK, CHUNK = 256, 1024
+#: Classes per block of a group, and queries that are compared with a block at once (at least as many as it has members).
+BLOCK, CHUNK = 256, 64
 #: Bytes of shingle keys in a part of the second exchange.
 CLASS_BYTES = 2 << 20
 
@@ -241,7 +241,9 @@ def _candidates(classes: DataFrame, prefix: DataFrame, percent: int) -> tuple[Da
 def _compared(classes: DataFrame, members: DataFrame, asks: DataFrame, percent: int, name: str) -> DataFrame:
     """Links of what asks (cid, at) with members (cid, at), one for each ask that has any: a, b (classes), and the first rows
     of both classes as structs x, y."""
-    chunks = asks.groupBy("at").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    sizes = members.groupBy("at").agg(F.greatest(F.count("*"), F.lit(CHUNK)).alias("size"))
+    chunks = asks.groupBy("at").agg(F.count("*").alias("asked")).join(sizes, "at").select(
+        "at", F.ceil(F.col("asked") / F.col("size")).alias("chunks"))
     body = classes.select("cid", "n", "toks", "d", "p", "r")
     held = members.join(chunks, "at").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))) \
         .drop("chunks").join(body, "cid")
