@@ -38,6 +38,34 @@ def test_top_k(spark, monkeypatch, scale):
     assert topk.digest(df.limit(0)).count() == 0
 
 
+def test_top_k_prunes_clusters(spark):
+    """Among clustered vectors most blocks are never scored; without structure all are. Rounds change no result."""
+    rng = np.random.RandomState(3)
+    centres = rng.randn(40, 16)
+    rows = [(int(i), [float(x) for x in centres[i % 40] + rng.randn(16) * .05]) for i in range(6000)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert topk.share_scored(df, F.col("id") % 100 == 0) < .5
+    noise = [(int(i), [float(x) for x in rng.randn(16)]) for i in range(2000)]
+    df = topk.quantised(spark.createDataFrame(noise, "vec_id long, embedding array<double>"))
+    assert topk.share_scored(df, F.col("id") % 100 == 0) <= 1
+
+
+def test_top_k_in_rounds(spark, monkeypatch):
+    """Thirty groups in three rounds."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "RANGE", 5)
+    monkeypatch.setattr(topk, "GROWTH", 4)
+    rng = np.random.RandomState(6)
+    rows = [(int(i), [int(x) for x in rng.randint(-5, 6, 3)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("id") % 20 == 0, 7).collect())
+    want = []
+    for q, x in rows[::20]:
+        s = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:7]
+        want += [(q, n + 1, i, -v) for n, (v, i) in enumerate(s)]
+    assert got == sorted(want) and len(topk._rounds(30)) == 4
+
+
 def mix_corpus():
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.choice([1, 2]) for _ in range(rng.choice([0, 1, 5, 50, 300]))), rng.choice(["a", "b", "c", "d", None, "é", "tiny"]), 1)
@@ -73,6 +101,44 @@ def test_mixing(spark):
     assert mixing.digest(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_copies_follow_the_prefix_sums(spark):
+    """Within a source, in the order of the plan, a document is emitted once for each integer that the running sum crosses."""
+    docs = spark.createDataFrame(mix_corpus(), "doc_id long, text string, source string, size int")
+    by = {}
+    for r in mixing.plan(docs.repartition(3)).collect():
+        by.setdefault(r.src, []).append(r)
+    for src, rows in by.items():
+        rate = rows[0].target / rows[0].source_size if rows[0].source_size else 0.0
+        total = sum(r.copies for r in rows)
+        # systematic sampling takes floor or ceiling of the expected number, of all rows and of the rows up to any size
+        assert abs(total - rate * len(rows)) < 1 + 1e-6
+        assert all(r.copies in (int(rate), int(rate) + 1, 3) for r in rows)
+        for limit in (5, 50, 300):
+            part = [r for r in rows if int(8 * np.log2(r["size"] + 1)) <= int(8 * np.log2(limit + 1))]
+            assert abs(sum(r.copies for r in part) - rate * len(part)) < 1 + 1e-6
+    got = {(r.doc_id, r.taken) for r in mixing.digest(docs).collect()}
+    assert got == {(r.doc_id, r.copies * r["size"]) for rows in by.values() for r in rows}
+
+
+def test_mix_with_clashing_columns(spark):
+    """Columns named like the operator's own ones come out as they went in."""
+    df = spark.createDataFrame([(i, f"w{i} " * (i % 7), "ab"[i % 2], i, str(i)) for i in range(60)],
+                               "doc_id long, text string, source string, copies int, digest string")
+    got = mixing.mix(df).collect()
+    assert mixing.mix(df).columns == df.columns and all(r.copies == r.doc_id and r.digest == str(r.doc_id) for r in got)
+
+
+def test_rejects_unknown_languages(spark):
+    """Texts in scripts and alphabets that the model never saw are rejected, its own are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    strange = ["Это совсем другой язык, и модель его никогда не видела в своих данных. " * 3,
+               "これはまったく別の言語であり、モデルは見たことがありません。" * 4, "zqxj vkwq xzzk qqjx wvzk jxqz kqzw " * 8]
+    df = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert all(r.rejected for r in language.predict(df, model).collect())
+    assert language.predict(docs, model).where("rejected").count() <= 3
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = [(90001, None, "en"), (90002, "", "en"), (90003, " 12 !? \u0301", "fr"), (90004, "É", None), (None, "the and", "en")]

@@ -109,3 +109,22 @@ def test_trees_learn(spark):
         + [(2000 + i, f"http://k{i}.org/zz/{'9' * 40}?a=1&b=2&c={i}") for i in range(50)] + [(3000 + i, f"http://k{i}.org/about") for i in range(50)]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert {got[2000 + i] for i in range(50)} == {"block"} and {got[3000 + i] for i in range(50)} == {"allow"}
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Labelled URLs that the trees did not see; without two kinds of labels there is nothing to measure."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = url_filter.held_out_figures(pages)
+    assert got["n"] > 100 and got["accuracy"] > .6 and 0 <= got["precision"] <= 1 and 0 <= got["recall"] <= 1
+    assert url_filter.held_out_figures(pages.limit(0))["n"] == 0
+
+
+def test_a_repeated_url_does_not_fill_the_sample(spark):
+    """One labelled URL makes up nearly all rows, and the trees still learn both kinds."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    urls = ["http://hot.net/es/x"] * 3000 + [f"http://{word()}.net/es/{word()}?a={i}&b=1&c=2" for i in range(40)] \
+        + [f"http://{word()}.com/{word()}" for _ in range(40)] + [f"http://{word()}.org/{word()}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r for r in url_filter.judge(df, sample=60).collect() if r.rule is None]
+    assert len(got) == 40 and sum(r.verdict == "allow" for r in got) > 30
