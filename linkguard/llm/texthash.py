@@ -20,8 +20,8 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = [np.random.RandomState(11 + i).randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2 * i + 3)
           for i in range(2)]
 _POWERS: dict[int, np.ndarray] = {}
-#: Words of more bytes are hashed one by one.
-LONG_WORD = 256
+#: Words that are hashed together, and bytes beyond which a word is hashed on its own.
+TOGETHER, LONG_WORD = 1 << 15, 256
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -80,9 +80,19 @@ def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each word: its length, then eight bytes after the other, go through the mixer."""
+    out = np.zeros(len(start), np.uint64)
+    for i in range(0, len(start), TOGETHER):
+        lo, hi = start[i:i + TOGETHER], end[i:i + TOGETHER]
+        part = np.concatenate([buf[lo[0]:hi[-1]], np.zeros(8, np.uint8)])
+        out[i:i + TOGETHER] = _few_hashes(part, lo - lo[0], hi - lo[0], seed)
+    return out
+
+
+def _few_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """buf has eight bytes more than the words."""
     size = end - start
     out = mix(size.astype(np.uint64) + np.uint64(_ODD[seed]))
-    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # at each byte
+    eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))  # at each byte
     live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
     done = 0
     while len(live):

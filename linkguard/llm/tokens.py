@@ -32,7 +32,7 @@ PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
          (1, 60)]
 ESCAPE = 15
 #: Bytes of text per segment, and distinct words that a Python worker remembers.
-SEGMENT_BYTES, REMEMBER = 4 << 20, 1_000_000
+SEGMENT_BYTES, REMEMBER = 2 << 20, 1_000_000
 _COUNT = np.array([p[0] for p in PACKS] + [0, 1])
 _WIDTH = np.array([p[1] for p in PACKS] + [0, 64])
 _NULL_DOC = -(1 << 63)
