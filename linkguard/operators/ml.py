@@ -409,7 +409,7 @@ def narrative(explained: DataFrame, n_risk: int = 4, n_safe: int = 3) -> DataFra
     features that raise the score and the first ``n_safe`` that lower it."""
     def part(direction, n, words):
         chosen = f"slice(filter(top_features, f -> f.direction = '{direction}'), 1, {n})"
-        each = "concat(f.description, ' by ', format_string('%.1f', round(abs(f.impact) * 100, 1)))"
+        each = "concat(f.description, ' by ', format_string('%.1f', floor(abs(f.impact) * 1000 + 0.5D) / 10D))"
         return (f"CASE WHEN exists(top_features, f -> f.direction = '{direction}') THEN concat(' {words}: ', "
                 f"array_join(transform({chosen}, f -> {each}), '; '), '.') ELSE '' END")
     return add(explained, narrative=f"""concat('Verdict ', prediction, ', certainty ',

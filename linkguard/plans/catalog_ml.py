@@ -223,6 +223,24 @@ for _key, _model in [("ml_train_rf", "random_forest"), ("ml_train_gbt", "gradien
         return facts(scored(t, _model))
 
 
+CTES["ph_split"] = "SELECT * FROM p_split WHERE url_id IN (SELECT url_id FROM h_features)"
+
+
+@query("ml_train_full", facts_sql("random_forest").replace("p_split", "ph_split"))
+def _(t):
+    """A forest on the best half of the columns of the whole feature table: URL, DNS, WHOIS, address, geo and traffic."""
+    from linkguard.operators import assemble as H
+    from linkguard.plans.catalog_intel import feature_table
+    rows = feature_table(t).select("url_id", *H.FEATURES).join(labelled(t).select("url_id", "label", "domain"), "url_id")
+    path = shared_folder(t.spark, "full")
+    M.clean(M.group_split(rows), H.FEATURES).write.parquet(path)
+    df = t.spark.read.parquet(path)
+    tr, te = df.where("NOT is_test"), df.where("is_test")
+    model = M.train("random_forest", tr, H.FEATURES, select=len(H.FEATURES) // 2)
+    M.probability(model, te).withColumn("model_name", F.lit("random_forest")).write.parquet(f"{path}-scores")
+    return facts(t.spark.read.parquet(f"{path}-scores"))
+
+
 BOOSTERS = ("gradient_boosting", "boosting_depth_10", "boosting_depth_15")
 
 
@@ -441,7 +459,7 @@ def _(t):
 
 def _part_sql(cond: str, n: int, words: str) -> str:
     chosen = f"list_filter(top, lambda e: {cond})[1:{n}]"
-    each = "e.description || ' by ' || printf('%.1f', round(abs(e.impact) * 100, 1))"
+    each = "e.description || ' by ' || printf('%.1f', floor(abs(e.impact) * 1000 + 0.5) / 10)"
     return (f"CASE WHEN len(list_filter(top, lambda e: {cond})) > 0 THEN ' {words}: ' || "
             f"array_to_string(list_transform({chosen}, lambda e: {each}), '; ') || '.' ELSE '' END")
 
