@@ -21,16 +21,18 @@ from linkguard import constants as C
 
 
 FILES = 6
+ROW_GROUP = 2 << 20
 IN_ORDER = f"event_id * {FILES} {{0}} (SELECT max(event_id) + 1 FROM events)"
 LATE = "CASE WHEN event_id % 97 = 0 THEN 1 WHEN event_id % 101 = 0 THEN 3 ELSE 0 END"
 
 
 def event_stream(t: Tables, late: bool = True) -> DataFrame:
-    """The events as a stream of six files, written one after the other."""
+    """The events as a stream of six files, written one after the other. The table is read and cut by all tasks; a file has
+    small row groups, so that a micro-batch is read by several tasks."""
     nth = f"least({FILES - 1}, {IN_ORDER.format('div')} + {LATE if late else 0})"
     events, path = t.sql(f"SELECT *, cast({nth} AS int) AS nth FROM events"), shared_folder(t.spark, "events")
     for i in range(FILES):
-        events.where(f"nth = {i}").drop("nth").coalesce(1).write.mode("append").parquet(path)
+        events.where(f"nth = {i}").drop("nth").repartition(1).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(path)
     return S.file_stream(t.spark, path, events.drop("nth").schema)
 
 

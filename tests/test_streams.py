@@ -145,3 +145,81 @@ def test_throttle_holds_no_more_than_it_needs():
     frames = [pd.DataFrame({"id": range(i * 10, i * 10 + 10), "event_us": [1000 + i] * 5 + [1060 + i] * 5}) for i in range(4)]
     out = pd.concat(list(p.handleInputRows(("k",), iter(frames), None)))
     assert out["id"].tolist() == [5] and p.last.v == (1060,) and p.handle.ms == 2
+
+
+class Store:
+    """A value of the state store, the handle and the watermark in one."""
+
+    def __init__(self):
+        self.v, self.timers, self.mark = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    def clear(self):
+        self.v = None
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_throttle_takes_many_keys_in_one_group(monkeypatch):
+    """One call for a bucket of keys gives what one call per key would; what the watermark has left behind is forgotten."""
+    import pandas as pd
+
+    monkeypatch.setattr(keyed.Throttle, "WAITING", 7)
+    rng, store, last, gap, ttl = random.Random(3), Store(), {}, 60_000, 300_000
+    p = keyed.Throttle(["id"], "id", gap, ttl, True)
+    p.init(store)
+    for batch in range(6):
+        rows = [(batch * 100 + i, f"k{rng.randrange(12)}", batch * 200_000 + rng.randrange(0, 400_000, 5000)) for i in range(100)]
+        want = []
+        for i, k, us in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+            if k not in last or us >= last[k] + gap:
+                last[k] = us
+                want.append(i)
+        frames = [pd.DataFrame(rows[i:i + 10], columns=["id", "event_key", "event_us"]) for i in range(0, 100, 10)]
+        store.mark = (batch * 200_000 - 400_000) // 1000
+        got = [i for f in p.handleInputRows((1,), iter(frames), store) for i in f["id"]]
+        assert sorted(got) == sorted(want)
+        last = {k: us for k, us in last.items() if (us + ttl) // 1000 + 1 > store.mark}
+        assert p._load() == last and store.timers == [(max(last.values()) + ttl) // 1000 + 1]
+    list(p.handleExpiredTimer((1,), store, None))
+    assert p._load() == {}
+
+
+def test_throttle_calls_grow_with_buckets_not_keys(spark, tmp_path):
+    """Three hundred keys, null and empty ones among them, are 600 rows in five buckets, and no two of them are taken for one."""
+    ips = [None, "", "null", *(f"s{i}" for i in range(297))]
+    rows = [(2 * i + late, ip, kind, T0 + dt.timedelta(seconds=late * 30 + i % 7)) for i, (ip, kind) in
+            enumerate((ip, kind) for ip in ips for kind in ("a", None)) for late in (0, 1)]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark, rows, ATTEMPT, source)
+    stream = S.file_stream(spark, source, spark.createDataFrame([], ATTEMPT).schema).withWatermark("ts", "1 hour")
+    out = keyed.throttled(stream, ["source_ip", "alert_type"], "attempt_id", 60, 300, buckets=5)
+    q = (out.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = [r.attempt_id for r in spark.read.parquet(f"{path}/data").collect()]
+    assert sorted(got) == [r[0] for r in rows if r[0] % 2 == 0]
+    ops = [o for p in q.recentProgress for o in p.stateOperators]
+    # a value and a timer with its index for each bucket
+    assert 0 < max(o.numRowsUpdated for o in ops) <= 5
