@@ -170,8 +170,10 @@ def rule_hit_stats(scored: DataFrame) -> DataFrame:
 
 
 def _quick(flows: DataFrame, tlds, words, min_words, tld_reason, word_reason) -> DataFrame:
-    df = add(flows, hit_tld=f"get(filter({array(tlds)}, t -> endswith(domain, t)), 0)",
-             hit_words=f"filter({array(words)}, k -> contains(lower(url), k))")
+    # pinned: the lambdas would otherwise derive the URL anew for each word, and the flag and the reason the hits
+    df = add(pin(add(flows, low="lower(url)"), "url", "domain", "low"), hit_tld=f"get(filter({array(tlds)}, t -> endswith(domain, t)), 0)",
+             hit_words=f"filter({array(words)}, k -> contains(low, k))")
+    df = pin(df, "hit_tld", "hit_words").select(*flows.columns, "hit_tld", "hit_words")
     return add(
         df, is_threat=f"hit_tld IS NOT NULL OR size(hit_words) >= {min_words}",
         reason=f"CASE WHEN hit_tld IS NOT NULL THEN {tld_reason} "

@@ -223,3 +223,13 @@ def test_throttle_calls_grow_with_buckets_not_keys(spark, tmp_path):
     ops = [o for p in q.recentProgress for o in p.stateOperators]
     # a value and a timer with its index for each bucket
     assert 0 < max(o.numRowsUpdated for o in ops) <= 5
+
+
+def test_threat_alerts_derive_the_url_once(spark):
+    """The words of the quick check are looked up in one value, not in its derivation."""
+    flows = spark.createDataFrame([(1, T0, "1.1.1.1", "login-verify.tk", "/a", None, None)],
+                                  "event_id long, ts timestamp, src_ip string, http_host string, http_path string, sni string, qname string")
+    df = S.threat_alerts(flows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(http://") <= 3, plan.count("concat(http://")
+    assert [r.source_ip for r in df.collect()] == ["1.1.1.1"]
